@@ -1,6 +1,6 @@
 """Queries over the test tables: each operator bound to a role the tables can play."""
 
-from . import agreement, features  # noqa: F401
+from . import agreement, effects, features, quality  # noqa: F401
 from .base import ORACLES, QUERIES
 
 flagship = None
