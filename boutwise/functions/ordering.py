@@ -84,54 +84,78 @@ def runs(df: DataFrame, keys: Sequence[str], position: str, value: str, length:
     return grams.where(F.col("_own") & F.col("_last").isNotNull()).select(*keys, position, "gram")
 
 
-def value_steps(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str] = (), bins: int = 64, few_keys: bool = False) -> DataFrame:
-    """Distinct values per key with their count, the number of smaller values (`below`) and the key's
-    row count (`n_key`). Values fall into bins of about equal depth, so no task holds a whole key.
-    With `parts`, counts are also kept per part: rows are (keys, parts, value, c, c_all, below, n_key).
-    `few_keys` states that the keys are clusters, seeds or features, whose number is a parameter."""
-    rows = df.select(*keys, *parts, F.col(value).cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x")
-    )
-    probs = [i / bins for i in range(1, bins)]
-    cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("_x", probs, 1000).alias("_cuts"), F.count(F.lit(1)).alias("n_key")
-    )
-    if keys:
-        binned = rows.join(F.broadcast(cuts) if few_keys else cuts, list(keys))
-    else:
-        c = one_row(cuts)
-        binned = rows.select("*", c["_cuts"].alias("_cuts"), c["n_key"].alias("n_key"))
-    binned = binned.withColumn("_bin", F.size(F.filter("_cuts", lambda q: q < F.col("_x"))))
+def _cumulate(binned: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Counts per distinct (_bin, _x) with the number of rows before them in the key. The window runs
+    inside (key, _bin); bins are shifted by their offsets."""
     counts = binned.groupBy(*keys, "n_key", "_bin", *parts, "_x").agg(F.count(F.lit(1)).alias("c"))
     sizes = counts.groupBy(*keys, "_bin").agg(F.sum("c").alias("_size"))
     offsets = sizes.select(
         *keys, "_bin", F.coalesce(F.sum("_size").over(_before(keys, "_bin")), F.lit(0)).alias("_offset")
     )
-    upto = Window.partitionBy(*keys, "_bin").orderBy("_x").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy(*keys, "_bin", "_x")
-    steps = counts.withColumn("_upto", F.sum("c").over(upto)).withColumn("c_all", F.sum("c").over(same))
+    upto = Window.partitionBy(*keys, "_bin").orderBy(F.col("_x").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumn("_upto", F.sum("c").over(upto))
+    if parts:
+        steps = steps.withColumn("c_all", F.sum("c").over(Window.partitionBy(*keys, "_bin", "_x")))
+    else:
+        steps = steps.withColumn("c_all", F.col("c"))
     return steps.join(offsets, [*keys, "_bin"]).select(
-        *keys, *parts, F.col("_x").alias(value), "c", "c_all",
-        (F.col("_offset") + F.col("_upto") - F.col("c_all")).alias("below"), "n_key",
+        *keys, *parts, "_x", "c", "c_all", (F.col("_offset") + F.col("_upto") - F.col("c_all")).alias("below"), "n_key"
+    )
+
+
+def _with_cuts(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int, few_keys: bool) -> DataFrame:
+    """Adds the key's approximate quantiles `_cuts` (a mergeable sketch) and its row count n_key."""
+    cuts = rows.groupBy(*keys).agg(
+        F.percentile_approx("_x", list(probs), accuracy).alias("_cuts"), F.count(F.lit(1)).alias("n_key")
     )
+    if keys:
+        return rows.join(F.broadcast(cuts) if few_keys else cuts, list(keys))
+    c = one_row(cuts)
+    return rows.select("*", c["_cuts"].alias("_cuts"), c["n_key"].alias("n_key"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], bins: int = 64, few_keys: bool = False) -> DataFrame:
-    """Exact linear-interpolated quantiles per key (position q*(n-1)) as columns named by `probs`."""
-    steps = value_steps(df, keys, value, bins=bins, few_keys=few_keys)
+def _numbers(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str] = ()) -> DataFrame:
+    return df.select(*keys, *parts, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+
+def value_steps(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str] = (), bins: int = 64, few_keys: bool = False) -> DataFrame:
+    """Distinct values per key with their count, the number of smaller values (`below`) and the key's
+    row count (`n_key`). Values fall into bins of about equal depth, so no task holds a whole key.
+    With `parts`, counts are also kept per part: rows are (keys, parts, value, c, c_all, below, n_key).
+    `few_keys` states that the keys are clusters, seeds or features, whose number is a parameter."""
+    probs = [i / bins for i in range(1, bins)]
+    rows = _with_cuts(_numbers(df, keys, value, parts), keys, probs, 1000, few_keys)
+    binned = rows.withColumn("_bin", F.size(F.filter("_cuts", lambda q: q < F.col("_x"))))
+    return _cumulate(binned, keys, parts).withColumnRenamed("_x", value)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10000, few_keys: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles per key (position q*(n-1)) as columns named by `probs`.
+    A sketch with rank error below 1/accuracy brackets each wanted rank; rows outside every bracket
+    are only counted, so about 8/accuracy of a key's rows per probability are moved and sorted. Keys
+    of at most `accuracy` rows are sorted whole."""
+    eps = 4.0 / accuracy
+    marks = [m for q in probs.values() for m in (max(0.0, q - eps), min(1.0, q + eps))]
+    rows = _with_cuts(_numbers(df, keys, value), keys, marks, accuracy, few_keys)
+    x, cuts = F.col("_x"), F.col("_cuts")
+    inside = F.col("n_key") <= accuracy
+    for i in range(len(probs)):
+        inside = inside | ((x >= cuts[2 * i]) & (x <= cuts[2 * i + 1]))
+    # a bin ends at a cut: values without a bracket come first in it, then those that are kept
+    binned = rows.select(
+        *keys, "n_key", F.size(F.filter(cuts, lambda q: q < x)).alias("_bin"), F.when(inside, x).alias("_x")
+    )
+    steps = _cumulate(binned, keys, [])
     n1 = F.col("n_key") - 1
     ranks = []
     for q in probs.values():
         ranks += [F.floor(F.lit(q) * n1).cast("bigint"), F.ceil(F.lit(q) * n1).cast("bigint")]
-    hits = steps.select(
-        *keys, "n_key", F.col(value).alias("_x"),
-        F.explode(
-            F.filter(
-                F.array_distinct(F.array(*ranks)),
-                lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c_all")),
-            )
-        ).alias("_rank"),
+    reached = F.filter(
+        F.array_distinct(F.array(*ranks)), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("c_all"))
     )
+    hits = steps.select(*keys, "n_key", "_x", F.explode(reached).alias("_rank"))
+    found = F.when(F.col("_x").isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double")).otherwise(F.col("_x"))
+    hits = hits.withColumn("_x", found)
     out = hits.groupBy(*keys, "n_key").agg(
         *[F.max(F.when(F.col("_rank") == r, F.col("_x"))).alias(f"_v{i}") for i, r in enumerate(ranks)]
     )

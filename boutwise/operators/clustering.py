@@ -218,8 +218,8 @@ def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str, rows_per_ti
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({key: a[key][:0], "own": [], "other": [], "s": [], "n": []})
-        x, y = np.stack(a[vec]).astype(float), np.stack(b[vec]).astype(float)
-        labels = b["_c"].to_numpy()
+        x, y = np.stack(a[vec]).astype(float), np.stack(b["_v"]).astype(float)
+        labels = b["_other"].to_numpy()
         out = []
         for c in np.unique(labels):
             t = y[labels == c]
@@ -229,7 +229,8 @@ def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str, rows_per_ti
             out.append(pd.DataFrame({key: a[key], "own": a["_c"], "other": c, "s": total, "n": len(t)}))
         return pd.concat(out)
 
-    parts = reduce_tiles(data, data, key, key, tiles, sums, f"{key} {kind}, own long, other long, s double, n long")
+    right = data.select(F.col(key).alias("_k"), F.col(vec).alias("_v"), F.col("_c").alias("_other"))
+    parts = reduce_tiles(data, right, key, "_k", tiles, sums, f"{key} {kind}, own long, other long, s double, n long")
     per = parts.groupBy(key, "own", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     mine = F.col("own") == F.col("other")
     agg = per.groupBy(key, "own").agg(

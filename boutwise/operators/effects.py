@@ -77,7 +77,7 @@ def profiles(df: DataFrame, cluster: str, features: Sequence[str], k: int, by: S
     long = df.select(*by, cluster, *[finite(f).alias(f) for f in features]).unpivot(
         [*[F.col(b) for b in by], F.col(cluster)], [F.col(f) for f in features], "feature", "_v"
     )
-    med = quantiles(long, [*by, "feature", cluster], "_v", {"median": 0.5}, bins=16, few_keys=True)
+    med = quantiles(long, [*by, "feature", cluster], "_v", {"median": 0.5}, few_keys=True)
     grid = m.select(*by, "feature").distinct().select(
         *by, "feature", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))).alias(cluster)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -211,12 +211,19 @@ def encode(df: DataFrame, weights: dict[str, np.ndarray], channels: Sequence[str
 # ---- contrastive loss --------------------------------------------------------------------------
 
 
-def contrastive_loss(pairs: DataFrame, batch: str, view_a: str, view_b: str, temperature: float = 0.10) -> DataFrame:
-    """NT-Xent of two views per batch: (batch, n, loss). A batch has a fixed number of rows, meets in
-    one task as two matrices and leaves as one row."""
+def batch_of(index: str, size: int) -> Column:
+    """Batch number of a contiguous row index."""
+    return F.floor(F.col(index) / size)
+
+
+def contrastive_loss(pairs: DataFrame, batch: str, view_a: str, view_b: str, temperature: float = 0.10, max_batch: int = 4096) -> DataFrame:
+    """NT-Xent of two views per batch: (batch, n, loss). A batch has a fixed number of rows (see
+    `batch_of`), meets in one task as two matrices and leaves as one row; a larger one is an error."""
     kind = dict(pairs.dtypes)[batch]
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_batch:
+            raise ValueError(f"batch of {len(pdf)} rows, at most {max_batch} allowed")
         z = np.concatenate([np.stack(pdf[view_a]), np.stack(pdf[view_b])]).astype(np.float64)
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
         n = len(pdf)

@@ -163,10 +163,11 @@ def variable_features(
 def model_input(df: DataFrame, ids: list[str], speed: str = "speed", heading: str = "heading", length: int | None = None) -> DataFrame:
     """The three model channels sin(angle), cos(angle), speed as array<float>; with `length` the
     unwrapped angle and the speed are first resampled. A non-finite sample fails the job."""
-    angle, pace = F.col(heading), F.col(speed)
+    staged = df.select(*ids, F.col(heading).alias("_angle"), F.col(speed).alias("_pace"))
     if length is not None:
-        angle, pace = A.resample(A.unwrap(angle), length), A.resample(pace, length)
-    staged = df.select(*ids, angle.alias("_angle"), pace.alias("_pace"))
+        # unwrapped first as a column of its own: the resampling lambda reads it many times
+        staged = staged.withColumn("_angle", A.unwrap(F.col("_angle")))
+        staged = staged.withColumns({c: A.resample(F.col(c), length) for c in ("_angle", "_pace")})
     bad = F.exists("_angle", A.nonfinite) | F.exists("_pace", A.nonfinite)
     guarded = staged.withColumn(
         "_angle", F.when(bad, F.raise_error(F.lit("non-finite model input")).cast("array<double>")).otherwise(F.col("_angle"))

@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .agreement import contingency
 from .linear import column_means, gram, vector_of
-from .quality import encode_categories
 from .sampling import class_holdout, subsample
 from .scaling import apply_scaler, fit_medians, fit_scaler, impute
 
@@ -48,59 +48,57 @@ def regression_scores(pred: DataFrame, truth: str, guess: str, by: Sequence[str]
 # ---- classifiers -------------------------------------------------------------------------------
 
 
-def _prepare(train: DataFrame, held: DataFrame, features: Sequence[str], label: str, standardize: bool) -> tuple[DataFrame, DataFrame, int]:
-    med = fit_medians(train, features)
-    train, held = impute(train, features, med), impute(held, features, med)
+def _prepare(train: DataFrame, held: DataFrame, features: Sequence[str], label: str, standardize: bool, fill: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """The cached training base, both sides with `_x` (and `_y` in training), and the class names in code order. The classes are
+    held by the model itself, so their list is bounded by what can be fitted at all."""
+    if fill:
+        med = fit_medians(train, features)
+        train, held = impute(train, features, med), impute(held, features, med)
     if standardize:
         p = fit_scaler(train, features)
         train, held = apply_scaler(train, features, p), apply_scaler(held, features, p)
-    coded = encode_categories(train.withColumn(label, F.col(label).cast("string")), label, "_y")
     v = array_to_vector(vector_of(features)).alias("_x")
-    data = coded.select(F.col(label).alias("_label"), F.col("_y").cast("double").alias("_y"), v)
-    return data, held.select(*held.columns, v), int(data.agg(F.max("_y")).first()[0]) + 1
+    data = train.select(F.col(label).cast("string").alias("_label"), v).persist()
+    index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(data)
+    return data, index.transform(data), held.select(F.col(label).cast("string").alias("truth"), v), list(index.labels)
 
 
-def _answers(model, data: DataFrame, held: DataFrame, label: str) -> DataFrame:
-    names = data.select("_label", "_y").distinct().select(F.col("_y").alias("prediction"), F.col("_label").alias("pred"))
-    out = model.transform(held.withColumn("truth", F.col(label).cast("string")))
-    return out.join(names, "prediction", "left").select("truth", "pred")
+def _answers(model, held: DataFrame, names: list[str]) -> DataFrame:
+    pred = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("prediction") + 1).cast("int"))
+    return model.transform(held).select("truth", pred.alias("pred"))
 
 
 def logistic_probe(
     train: DataFrame, held: DataFrame, features: Sequence[str], label: str, balanced: bool = True, c: float = 1.0,
-    standardize: bool = True, max_iter: int = 100,
+    standardize: bool = True, max_iter: int = 100, fill: bool = False,
 ) -> DataFrame:
     """Multinomial logistic probe fitted on training rows: (truth, pred) of the held-out rows. The
-    penalty is per row sum, so it becomes 1/(c n); classes weigh n/(classes * class rows) if balanced."""
-    data, rows, k = _prepare(train, held, features, label, standardize)
-    data = data.persist()
-    try:
-        n = data.count()
-        if balanced:
-            w = data.groupBy("_y").agg((F.lit(float(n)) / (F.lit(k) * F.count(F.lit(1)))).alias("_w"))
-            fitted = data.join(w, "_y")
-        else:
-            fitted = data.withColumn("_w", F.lit(1.0))
-        lr = LogisticRegression(
-            featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, family="multinomial"
-        )
-        model = lr.fit(fitted)
-    finally:
-        data.unpersist()
-    return _answers(model, data, rows, label)
+    penalty is per row sum, so it becomes 1/(c n); classes weigh n/(classes * class rows) if balanced.
+    `fill` puts training medians in place of missing values."""
+    base, data, rows, names = _prepare(train, held, features, label, standardize, fill)
+    counts = {int(r[0]): r[1] for r in data.groupBy("_y").count().collect()}
+    n, k = sum(counts.values()), len(names)
+    weights = F.array(*[F.lit(n / (k * counts[i]) if balanced else 1.0) for i in range(k)])
+    lr = LogisticRegression(
+        featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter, family="multinomial"
+    )
+    model = lr.fit(data.withColumn("_w", F.element_at(weights, (F.col("_y") + 1).cast("int"))))
+    base.unpersist()
+    return _answers(model, rows, names)
 
 
 def nonlinear_probe(
     train: DataFrame, held: DataFrame, features: Sequence[str], label: str, method: str = "boosted", trees: int = 20, depth: int = 4, seed: int = 0
 ) -> DataFrame:
     """Tree probe: one boosted model per class, or a random forest: (truth, pred)."""
-    data, rows, _ = _prepare(train, held, features, label, False)
+    base, data, rows, names = _prepare(train, held, features, label, False, True)
     if method == "boosted":
         base = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed)
         model = OneVsRest(classifier=base, featuresCol="_x", labelCol="_y").fit(data)
     else:
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
-    return _answers(model, data, rows, label)
+    base.unpersist()
+    return _answers(model, rows, names)
 
 
 def holdout_probe(rows: DataFrame, key: str, label: str, features: Sequence[str], seed: int, min_rows: int = 4, **kw) -> DataFrame:

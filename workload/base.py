@@ -159,23 +159,28 @@ lab AS (SELECT vec_id, label, partition, seed, cluster FROM distances
 # ---- variable-length rows: lineitem by order ---------------------------------------------------
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+MAX_LINES = 1024  # a longer order continues in its next bout
+
+
+def line_slot() -> Column:
+    """Monotone along LINE_ORDER: splits the lines of a hot order."""
+    return F.col("l_linenumber").cast("bigint") * F.lit(1 << 40) + F.floor(F.col("l_partkey") / 256)
 
 
 def order_paths(spark: SparkSession, d: str) -> DataFrame:
-    """One row per order: x and y arrays in a fixed order of its lines."""
+    """One row per order (and per 1024 lines of it): x, y and heading arrays in a fixed line order."""
     li = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
-    g = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER))).alias("r"))
-    return g.select(
-        "l_orderkey", F.transform("r", lambda s: s["l_quantity"]).alias("x"),
-        F.transform("r", lambda s: s["l_extendedprice"] / 1000.0).alias("y"),
-        F.transform("r", lambda s: s["l_discount"] * 60.0).alias("heading"),
+    b = B.cut_bouts(li, "l_orderkey", LINE_ORDER, line_slot(), MAX_LINES, ["l_quantity", "l_extendedprice", "l_discount"])
+    return b.select(
+        "l_orderkey", "bout_index", F.col("l_quantity").alias("x"), F.transform("l_extendedprice", lambda v: v / 1000.0).alias("y"),
+        F.transform("l_discount", lambda v: v * 60.0).alias("heading"),
     )
 
 
 LINES = """
-lines AS (SELECT l_orderkey, l_quantity AS x, l_extendedprice/1000.0 AS y, l_discount*60.0 AS heading,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS i,
-    count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+lines AS (SELECT l_orderkey, (rn-1)//1024 AS bout_index, (rn-1)%1024+1 AS i, x, y, heading, count(*) OVER (PARTITION BY l_orderkey, (rn-1)//1024) AS n FROM (
+  SELECT l_orderkey, l_quantity AS x, l_extendedprice/1000.0 AS y, l_discount*60.0 AS heading,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn FROM lineitem)),
 moves AS (SELECT *, x-lag(x) OVER w AS dx, y-lag(y) OVER w AS dy,
     sqrt(pow(x-lag(x) OVER w,2)+pow(y-lag(y) OVER w,2)) AS step FROM lines
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY i))"""
+  WINDOW w AS (PARTITION BY l_orderkey, bout_index ORDER BY i))"""

@@ -465,7 +465,7 @@ l AS (SELECT batch, vec_id, view, ln(sum(exp(sim)))-max(CASE WHEN own THEN sim E
 def losses(spark, d):
     e = embeddings(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
     b = F.concat(F.slice("a", 1, 48), F.array_repeat(F.lit(0.0), 16))
-    return E.contrastive_loss(e.select(F.floor(F.col("vec_id") / 32).alias("batch"), "a", b.alias("b")), "batch", "a", "b")
+    return E.contrastive_loss(e.select(E.batch_of("vec_id", 32).alias("batch"), "a", b.alias("b")), "batch", "a", "b")
 
 
 @query("emb_7_contrastive_loss", f"WITH {LOSS} SELECT batch, count(*)//2 AS n, round(avg(loss),6) AS loss FROM l GROUP BY batch")
@@ -504,7 +504,7 @@ def _(spark, d):
 @query("prb_2_logistic", None)
 def _(spark, d):
     a, b = parts(spark, d)
-    return rounded(P.classification_scores(P.logistic_probe(a, b, COORDS, "cluster", balanced=False, max_iter=30)))
+    return rounded(P.classification_scores(P.logistic_probe(a, b, COORDS, "cluster", balanced=False, max_iter=30, fill=True)))
 
 
 @query("prb_3_boosted_trees", None)
@@ -522,7 +522,7 @@ def _(spark, d):
 @query("prb_4_speed_only", None)
 def _(spark, d):
     a, b = parts(spark, d)
-    return rounded(P.classification_scores(P.logistic_probe(a, b, ["speed"], "cluster", max_iter=30)))
+    return rounded(P.classification_scores(P.logistic_probe(a, b, ["speed"], "cluster", balanced=False, max_iter=30, fill=True)))
 
 
 @query("prb_5_identity_probe", None)

@@ -2,19 +2,21 @@
 
 from pyspark.sql import functions as F
 
-from boutwise.functions import arrays as A
+from boutwise.functions.ordering import row_numbers
 from boutwise.operators import agreement as G
 from boutwise.operators import blinding as BL
 from boutwise.operators import decisions as D
 from boutwise.operators import effects as X
+from boutwise.operators import features as FE
 from boutwise.operators import quality as Q
 from boutwise.operators import sampling as S
 from boutwise.sources import bouts as B
 from boutwise.sources import sinks as K
+from boutwise.streaming.incremental import scratch
 
 from .agreement import PAIRG, SEEDG, wide_labels
 from .base import (
-    BOUTS, CORE, EMB, FISH, LAB, LINES, SAMPLES, SEEDS, bouts, embeddings, fish, labelings, order_paths, query, rounded, split, table,
+    BOUTS, CORE, EMB, FISH, LAB, LINE_ORDER, LINES, MAX_LINES, SAMPLES, SEEDS, bouts, embeddings, fish, labelings, line_slot, order_paths, query, rounded, split, table,
 )
 from .features import IDS
 
@@ -55,12 +57,16 @@ def _(spark, d):
     return B.attach_conditions(o, cond, ["recording_id"])
 
 
-@query("src_6_flatten_recordings", """SELECT l_orderkey AS recording_id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS well,
-row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity)-1 AS bout_index, l_partkey AS part, l_quantity AS quantity FROM lineitem""")
+@query("src_6_flatten_recordings", """WITH n AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)-1)//1024 AS part FROM lineitem)
+SELECT l_orderkey||'/'||part AS recording_id, dense_rank() OVER (PARTITION BY l_orderkey, part ORDER BY l_linenumber) AS well,
+row_number() OVER (PARTITION BY l_orderkey, part, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity)-1 AS bout_index, l_partkey AS part, l_quantity AS quantity FROM n""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity")).alias("b"))
-    w = li.groupBy("l_orderkey", "l_linenumber").agg(F.sort_array(F.collect_list("b")).alias("bouts"))
-    r = w.groupBy(F.col("l_orderkey").alias("recording_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "bouts"))).alias("w"))
+    # recordings of at most 1024 bouts, nested as recording -> wells -> bouts
+    li = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
+    li = row_numbers(li, ["l_orderkey"], LINE_ORDER, line_slot(), "rn").withColumn("part", F.floor((F.col("rn") - 1) / MAX_LINES))
+    b = li.select("l_orderkey", "part", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity")).alias("b"))
+    w = b.groupBy("l_orderkey", "part", "l_linenumber").agg(F.sort_array(F.collect_list("b")).alias("bouts"))
+    r = w.groupBy(F.concat_ws("/", "l_orderkey", "part").alias("recording_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "bouts"))).alias("w"))
     return rounded(B.flatten_recordings(r.select("recording_id", F.col("w.bouts").alias("wells"))).drop("supp"))
 
 
@@ -73,6 +79,30 @@ def _(spark, d):
     return B.source_rules(e, "vec_id", "vec_id", "partition", "seed")
 
 
+@query("snk_1_feature_table", f"WITH {CORE}, {FISH.strip()} SELECT fish_id, bout_index, partition, round(speed_mean::FLOAT::DOUBLE,4) AS speed_mean, round(accel_rms::FLOAT::DOUBLE,2) AS accel_rms FROM core JOIN split USING (fish_id)")
+def _(spark, d):
+    f = FE.core_features(bouts(spark, d)).select(*IDS, "speed_mean", "accel_rms")
+    path = scratch(spark, "features")
+    K.write_features(S.inherit_partition(f, split(spark, d)), path, ["speed_mean", "accel_rms"])
+    back = spark.read.parquet(path)
+    return back.select(*IDS, "partition", F.round(F.col("speed_mean").cast("double"), 4).alias("speed_mean"), F.round(F.col("accel_rms").cast("double"), 2).alias("accel_rms"))
+
+
+@query("snk_2_embedding_table", f"WITH {EMB} SELECT vec_id, partition, label, round(e[1],5)+0.0::DOUBLE AS first, len(e) AS dim FROM emb")
+def _(spark, d):
+    path = scratch(spark, "embeddings")
+    K.write_embeddings(embeddings(spark, d), path, 64)
+    back = spark.read.parquet(path)
+    return rounded(back.select("vec_id", "partition", "label", (F.round(F.col("embedding")[0].cast("double"), 5) + F.lit(0.0)).alias("first"), F.size("embedding").alias("dim")))
+
+
+@query("snk_3_split_table", f"WITH {FISH} SELECT fish_id, context_name, partition FROM split")
+def _(spark, d):
+    path = scratch(spark, "split")
+    K.write_csv(split(spark, d), path)
+    return spark.read.csv(path, header=True, schema="fish_id bigint, context_name string, partition string")
+
+
 @query("snk_4_report_rows", f"WITH {SEEDG}, t AS (SELECT seed, unnest(['ari','nmi']) AS metric, unnest([ari, nmi]) AS value FROM meas) SELECT 'label_agreement' AS analysis, seed, metric, round(value,6) AS value FROM t")
 def _(spark, d):
     ct = G.contingency(labelings(spark, d), "label", "cluster", ["seed"])
@@ -102,10 +132,10 @@ def _(spark, d):
 
 
 # orders as bouts: n/20 s, 0.071 mm per unit, body axis as in the heading-change binding
-ACCEPT = f"""{LINES.strip()}, m AS (SELECT l_orderkey, count(*)/20.0::DOUBLE AS t, coalesce(sum(step),0)*0.071::DOUBLE*3.0::DOUBLE AS s,
- arg_min(degrees(atan2(y-(x*0.5-3.0), x-(y*0.5-3.0))),i) AS s0, arg_max(degrees(atan2(y-(x*0.5-3.0), x-(y*0.5-3.0))),i) AS s1 FROM moves GROUP BY l_orderkey),
+ACCEPT = f"""{LINES.strip()}, m AS (SELECT l_orderkey, bout_index, count(*)/20.0::DOUBLE AS t, coalesce(sum(step),0)*0.071::DOUBLE*3.0::DOUBLE AS s,
+ arg_min(degrees(atan2(y-(x*0.5-3.0), x-(y*0.5-3.0))),i) AS s0, arg_max(degrees(atan2(y-(x*0.5-3.0), x-(y*0.5-3.0))),i) AS s1 FROM moves GROUP BY l_orderkey, bout_index),
 h AS (SELECT *, CASE WHEN -(s1-s0)>180 THEN 360+(s1-s0) WHEN -(s1-s0)<-180 THEN -(360-(s1-s0)) ELSE -(s1-s0) END AS hc FROM m),
-r AS (SELECT l_orderkey, list_filter([CASE WHEN t<0.04 THEN 'time_too_short' END, CASE WHEN t>1.2 THEN 'time_too_long' END, CASE WHEN s>25 THEN 'distance_too_large' END, CASE WHEN s<0 THEN 'distance_negative' END,
+r AS (SELECT l_orderkey, bout_index, list_filter([CASE WHEN t<0.04 THEN 'time_too_short' END, CASE WHEN t>1.2 THEN 'time_too_long' END, CASE WHEN s>25 THEN 'distance_too_large' END, CASE WHEN s<0 THEN 'distance_negative' END,
  CASE WHEN s/t>50 THEN 'speed_too_high' END, CASE WHEN s/t<1 THEN 'speed_too_low' END, CASE WHEN abs(hc)>180 THEN 'heading_change_too_large' END], lambda x: x IS NOT NULL) AS reasons FROM h)"""
 
 
@@ -113,13 +143,13 @@ def measured(spark, d):
     p = order_paths(spark, d)
     pts = F.sequence(F.lit(7), F.lit(-2), F.lit(-1))
     tail = lambda a: F.transform(a, lambda v: F.transform(pts, lambda j: v * 0.5 - j))
-    b = p.select("l_orderkey", "x", "y", tail(F.col("y")).alias("tail_x"), tail(F.col("x")).alias("tail_y"))
+    b = p.select("l_orderkey", "bout_index", "x", "y", tail(F.col("y")).alias("tail_x"), tail(F.col("x")).alias("tail_y"))
     return Q.accept(Q.measure_bouts(b, 20.0, 0.071 * 3.0), "duration_s", "distance", "heading_change")
 
 
-@query("qc_2_accept", f"WITH {ACCEPT} SELECT l_orderkey, array_to_string(reasons, ',') AS reasons, len(reasons)=0 AS accepted FROM r")
+@query("qc_2_accept", f"WITH {ACCEPT} SELECT l_orderkey, bout_index, array_to_string(reasons, ',') AS reasons, len(reasons)=0 AS accepted FROM r")
 def _(spark, d):
-    return measured(spark, d).select("l_orderkey", F.array_join("reasons", ",").alias("reasons"), "accepted")
+    return measured(spark, d).select("l_orderkey", "bout_index", F.array_join("reasons", ",").alias("reasons"), "accepted")
 
 
 @query("qc_2_reason_counts", f"WITH {ACCEPT} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM r) GROUP BY reason")
@@ -174,7 +204,7 @@ def computable(spark, d):
     return Q.computability(p, "prev")
 
 
-COMPUTE = f"{LINES.strip()}, c AS (SELECT l_orderkey, count(*) AS n FROM lines GROUP BY ALL)"
+COMPUTE = f"{LINES.strip()}, c AS (SELECT l_orderkey, bout_index, count(*) AS n FROM lines GROUP BY ALL)"
 
 
 @query("qc_6_computability", f"""WITH {COMPUTE}, u AS (SELECT unnest(['bout_duration','speed','speed_change','turning','inter_bout_interval']) AS feature, unnest([n>=2,n>=2,n>=3,n>=2,n>=2 AND l_orderkey%3>0]) AS ok FROM c)
@@ -289,8 +319,6 @@ def _(spark, d):
 
 @query("val_4_feature_audit", f"""WITH {CORE}, {FISH.strip()} SELECT partition, count(*) AS rows, 3::BIGINT AS features, 0::BIGINT AS nonfinite_cells, count(DISTINCT fish_id) AS units, count_if(speed_max>100)::BIGINT AS extreme_speed FROM core JOIN split USING (fish_id) GROUP BY ROLLUP (partition)""")
 def _(spark, d):
-    from boutwise.operators import features as FE
-
     f = FE.core_features(bouts(spark, d)).withColumn("extreme_speed", F.col("speed_max") > 100)
     return rounded(Q.feature_audit(S.inherit_partition(f, split(spark, d)), ["speed_mean", "speed_max", "bout_duration_s"], "fish_id", ["extreme_speed"]))
 
