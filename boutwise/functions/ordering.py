@@ -18,18 +18,27 @@ def _before(keys: Sequence[str], order: str) -> Window:
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, out: str = "rn") -> DataFrame:
-    """1-based row number per key. `bucket` must not decrease along `order` (a time slot, a digest
-    prefix), so a hot key is spread over its buckets. Keys must not be NULL."""
-    b = df.withColumn("_bucket", bucket)
-    sizes = b.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, out: str = "rn", max_rows: int = 1_000_000
+) -> DataFrame:
+    """1-based row number per key. A key of more than max_rows rows is split by `bucket`, which must not
+    decrease along `order` (a time slot, a digest prefix); other keys stay whole. Without keys the
+    whole table is split. Keys must not be NULL."""
+    if keys:
+        # at most rows / max_rows keys can be this large
+        large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows)
+        b = df.join(F.broadcast(large), list(keys), "left").withColumn("_bucket", F.when(F.col("_rows").isNotNull(), bucket)).drop("_rows")
+        split = b.where(F.col("_bucket").isNotNull())
+    else:
+        b = split = df.withColumn("_bucket", bucket)
+    sizes = split.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     offsets = sizes.select(
         *keys, "_bucket", F.coalesce(F.sum("_size").over(_before(keys, "_bucket")), F.lit(0)).alias("_offset")
     )
     local = b.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
     return (
-        local.join(offsets, [*keys, "_bucket"])
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))
+        local.join(offsets, [*keys, "_bucket"], "left")
+        .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint"))
         .drop("_bucket", "_local", "_offset")
     )
 
@@ -84,10 +93,18 @@ def runs(df: DataFrame, keys: Sequence[str], position: str, value: str, length:
     return grams.where(F.col("_own") & F.col("_last").isNotNull()).select(*keys, position, "gram")
 
 
-def _cumulate(binned: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
-    """Counts per distinct (_bin, _x) with the number of rows before them in the key. The window runs
-    inside (key, _bin); bins are shifted by their offsets."""
-    counts = binned.groupBy(*keys, "n_key", "_bin", *parts, "_x").agg(F.count(F.lit(1)).alias("c"))
+def _locate(x: Column, cuts: Column, lo: int, hi: int) -> Column:
+    """Number of ascending cuts (indexes lo..hi-1, all before lo known to be smaller) below x: a
+    search tree of plain comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] < x, _locate(x, cuts, mid + 1, hi)).otherwise(_locate(x, cuts, lo, mid))
+
+
+def _cumulate(counts: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Adds to counts `c` of distinct (_bin, _x) the number of rows before them in the key. The window
+    runs inside (key, _bin); bins are shifted by their offsets."""
     sizes = counts.groupBy(*keys, "_bin").agg(F.sum("c").alias("_size"))
     offsets = sizes.select(
         *keys, "_bin", F.coalesce(F.sum("_size").over(_before(keys, "_bin")), F.lit(0)).alias("_offset")
@@ -103,11 +120,14 @@ def _cumulate(binned: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> D
     )
 
 
-def _with_cuts(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int, few_keys: bool) -> DataFrame:
-    """Adds the key's approximate quantiles `_cuts` (a mergeable sketch) and its row count n_key."""
-    cuts = rows.groupBy(*keys).agg(
+def _cuts(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Approximate quantiles `_cuts` (a mergeable sketch) and the row count n_key of each key."""
+    return rows.groupBy(*keys).agg(
         F.percentile_approx("_x", list(probs), accuracy).alias("_cuts"), F.count(F.lit(1)).alias("n_key")
     )
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame, keys: Sequence[str], few_keys: bool) -> DataFrame:
     if keys:
         return rows.join(F.broadcast(cuts) if few_keys else cuts, list(keys))
     c = one_row(cuts)
@@ -124,9 +144,11 @@ def value_steps(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[
     With `parts`, counts are also kept per part: rows are (keys, parts, value, c, c_all, below, n_key).
     `few_keys` states that the keys are clusters, seeds or features, whose number is a parameter."""
     probs = [i / bins for i in range(1, bins)]
-    rows = _with_cuts(_numbers(df, keys, value, parts), keys, probs, 1000, few_keys)
-    binned = rows.withColumn("_bin", F.size(F.filter("_cuts", lambda q: q < F.col("_x"))))
-    return _cumulate(binned, keys, parts).withColumnRenamed("_x", value)
+    rows = _numbers(df, keys, value, parts)
+    counts = rows.groupBy(*keys, *parts, "_x").agg(F.count(F.lit(1)).alias("c"))
+    counts = _with_cuts(counts, _cuts(rows, keys, probs, 1000), keys, few_keys)
+    counts = counts.withColumn("_bin", _locate(F.col("_x"), F.col("_cuts"), 0, bins - 1)).drop("_cuts")
+    return _cumulate(counts, keys, parts).withColumnRenamed("_x", value)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10000, few_keys: bool = False) -> DataFrame:
@@ -135,17 +157,20 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     are only counted, so about 8/accuracy of a key's rows per probability are moved and sorted. Keys
     of at most `accuracy` rows are sorted whole."""
     eps = 4.0 / accuracy
-    marks = [m for q in probs.values() for m in (max(0.0, q - eps), min(1.0, q + eps))]
-    rows = _with_cuts(_numbers(df, keys, value), keys, marks, accuracy, few_keys)
+    pairs = sorted((max(0.0, q - eps), min(1.0, q + eps)) for q in probs.values())
+    marks = sorted(m for p in pairs for m in p)
+    numbers = _numbers(df, keys, value)
+    rows = _with_cuts(numbers, _cuts(numbers, keys, marks, accuracy), keys, few_keys)
     x, cuts = F.col("_x"), F.col("_cuts")
     inside = F.col("n_key") <= accuracy
-    for i in range(len(probs)):
-        inside = inside | ((x >= cuts[2 * i]) & (x <= cuts[2 * i + 1]))
-    # a bin ends at a cut: values without a bracket come first in it, then those that are kept
+    for lo, hi in pairs:
+        inside = inside | ((x >= cuts[marks.index(lo)]) & (x <= cuts[marks.index(hi)]))
+    # a bin ends at a cut: values outside the brackets come first in it, then those that are kept
     binned = rows.select(
-        *keys, "n_key", F.size(F.filter(cuts, lambda q: q < x)).alias("_bin"), F.when(inside, x).alias("_x")
+        *keys, "n_key", _locate(x, cuts, 0, len(marks)).alias("_bin"), F.when(inside, x).alias("_x")
     )
-    steps = _cumulate(binned, keys, [])
+    counts = binned.groupBy(*keys, "n_key", "_bin", "_x").agg(F.count(F.lit(1)).alias("c"))
+    steps = _cumulate(counts, keys, [])
     n1 = F.col("n_key") - 1
     ranks = []
     for q in probs.values():

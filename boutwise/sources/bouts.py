@@ -72,12 +72,12 @@ def require_clean(records: DataFrame, problem: str = "problem") -> DataFrame:
 
 def cut_bouts(samples: DataFrame, key: str, order: Sequence[str], slot: Column, length: int, fields: Sequence[str]) -> DataFrame:
     """Consecutive runs of `length` samples per key as one row with array columns. `slot` is a coarse
-    monotone function of the order (a day), which spreads a hot key over many tasks."""
+    monotone function of the order (a day), which spreads a very long key over many tasks."""
     numbered = row_numbers(samples, [key], list(order), slot, out="_n")
     picked = numbered.withColumn("bout_index", F.floor((F.col("_n") - 1) / length).cast("bigint"))
     # at most `length` samples per group
     runs = picked.groupBy(key, "bout_index").agg(
-        F.sort_array(F.collect_list(F.struct("_n", *order, *[f for f in fields if f not in order]))).alias("_run")
+        F.sort_array(F.collect_list(F.struct("_n", *fields))).alias("_run")
     )
     return runs.select(key, "bout_index", *[F.col(f"_run.{f}").alias(f) for f in fields])
 
