@@ -315,8 +315,8 @@ def align(ct: DataFrame, reference: str, candidate: str, k: int, by: Sequence[st
         return out[[*by, candidate, "aligned"]]
 
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + [f"{candidate} long", "aligned long"])
-    keys = [*by] if by else [F.lit(0)]
-    return ct.groupBy(*keys).applyInPandas(solve, schema)
+    grouped = ct.groupBy(*by) if by else ct.withColumn("_all", F.lit(0)).groupBy("_all")
+    return grouped.applyInPandas(solve, schema)
 
 
 def align_seeds(labels: DataFrame, key: str, seed: str, cluster: str, k: int, seeds: Sequence[int], reference: int) -> DataFrame:
