@@ -103,20 +103,20 @@ def _locate(x: Column, cuts: Column, lo: int, hi: int) -> Column:
 
 
 def _cumulate(counts: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> DataFrame:
-    """Adds to counts `c` of distinct (_bin, _x) the number of rows before them in the key. The window
+    """Adds to counts `_c` of distinct (_bin, _x) the number of rows before them in the key. The window
     runs inside (key, _bin); bins are shifted by their offsets."""
-    sizes = counts.groupBy(*keys, "_bin").agg(F.sum("c").alias("_size"))
+    sizes = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_size"))
     offsets = sizes.select(
         *keys, "_bin", F.coalesce(F.sum("_size").over(_before(keys, "_bin")), F.lit(0)).alias("_offset")
     )
     upto = Window.partitionBy(*keys, "_bin").orderBy(F.col("_x").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
-    steps = counts.withColumn("_upto", F.sum("c").over(upto))
+    steps = counts.withColumn("_upto", F.sum("_c").over(upto))
     if parts:
-        steps = steps.withColumn("c_all", F.sum("c").over(Window.partitionBy(*keys, "_bin", "_x")))
+        steps = steps.withColumn("c_all", F.sum("_c").over(Window.partitionBy(*keys, "_bin", "_x")))
     else:
-        steps = steps.withColumn("c_all", F.col("c"))
+        steps = steps.withColumn("c_all", F.col("_c"))
     return steps.join(offsets, [*keys, "_bin"]).select(
-        *keys, *parts, "_x", "c", "c_all", (F.col("_offset") + F.col("_upto") - F.col("c_all")).alias("below"), "n_key"
+        *keys, *parts, "_x", "_c", "c_all", (F.col("_offset") + F.col("_upto") - F.col("c_all")).alias("below"), "n_key"
     )
 
 
@@ -141,11 +141,11 @@ def _numbers(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str
 def value_steps(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str] = (), bins: int = 64, few_keys: bool = False) -> DataFrame:
     """Distinct values per key with their count, the number of smaller values (`below`) and the key's
     row count (`n_key`). Values fall into bins of about equal depth, so no task holds a whole key.
-    With `parts`, counts are also kept per part: rows are (keys, parts, value, c, c_all, below, n_key).
+    With `parts`, counts are also kept per part: rows are (keys, parts, value, _c, c_all, below, n_key).
     `few_keys` states that the keys are clusters, seeds or features, whose number is a parameter."""
     probs = [i / bins for i in range(1, bins)]
     rows = _numbers(df, keys, value, parts)
-    counts = rows.groupBy(*keys, *parts, "_x").agg(F.count(F.lit(1)).alias("c"))
+    counts = rows.groupBy(*keys, *parts, "_x").agg(F.count(F.lit(1)).alias("_c"))
     counts = _with_cuts(counts, _cuts(rows, keys, probs, 1000), keys, few_keys)
     counts = counts.withColumn("_bin", _locate(F.col("_x"), F.col("_cuts"), 0, bins - 1)).drop("_cuts")
     return _cumulate(counts, keys, parts).withColumnRenamed("_x", value)
@@ -169,7 +169,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     binned = rows.select(
         *keys, "n_key", _locate(x, cuts, 0, len(marks)).alias("_bin"), F.when(inside, x).alias("_x")
     )
-    counts = binned.groupBy(*keys, "n_key", "_bin", "_x").agg(F.count(F.lit(1)).alias("c"))
+    counts = binned.groupBy(*keys, "n_key", "_bin", "_x").agg(F.count(F.lit(1)).alias("_c"))
     steps = _cumulate(counts, keys, [])
     n1 = F.col("n_key") - 1
     ranks = []

@@ -256,7 +256,7 @@ def kruskal_wallis(df: DataFrame, value: str, cluster: str) -> DataFrame:
     come from binned prefix counts."""
     steps = value_steps(df, [], value, parts=[cluster])
     rank = F.col("below") + (F.col("c_all") + 1) / 2.0
-    per = steps.groupBy(cluster).agg(F.sum(F.col("c") * rank).alias("_r"), F.sum("c").alias("_n"), F.max("n_key").alias("_all"))
+    per = steps.groupBy(cluster).agg(F.sum(F.col("_c") * rank).alias("_r"), F.sum("_c").alias("_n"), F.max("n_key").alias("_all"))
     n = F.col("_all").cast("double")
     h = per.groupBy().agg(
         F.max("_all").alias("n"), F.count(F.lit(1)).alias("groups"),
@@ -264,7 +264,7 @@ def kruskal_wallis(df: DataFrame, value: str, cluster: str) -> DataFrame:
     )
     # every distinct value once: its cells sum to c_all
     t = F.col("c_all").cast("double")
-    ties = steps.agg(F.sum(F.col("c") * (t * t - 1.0))).scalar()
+    ties = steps.agg(F.sum(F.col("_c") * (t * t - 1.0))).scalar()
     nn = F.col("n").cast("double")
     fix = 1.0 - ties / (nn * nn * nn - nn)
     out = h.select("n", "groups", (F.col("_h") / F.nullif(fix, F.lit(0.0))).alias("h"))
