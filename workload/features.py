@@ -157,9 +157,17 @@ def _(spark, d):
     return rounded(out)
 
 
-@query("feat_14_variable_vector", None)
+VARIABLE = [c for c in FE.VARIABLE_FEATURES if c not in ("turn_net", "turn_std")]
+
+
+@query("feat_14_variable_vector", f"""WITH {BOUTS}, g AS (SELECT fish_id, bout_index, n/160.0::DOUBLE AS bout_duration, ("start"-lag("end") OVER (PARTITION BY fish_id ORDER BY bout_index))/160.0::DOUBLE AS inter_bout_interval FROM bouts),
+u AS (SELECT *, abs(atan2(sin(dh), cos(dh))) AS t FROM steps),
+s AS (SELECT fish_id, bout_index, avg(speed) AS speed_mean, stddev_pop(speed) AS speed_std, median(speed) AS speed_median, max(speed) AS speed_max, quantile_cont(speed,0.95) AS speed_p95, sqrt(avg(speed*speed)) AS speed_rms,
+ avg(abs(ds)) AS speed_change_abs_mean, stddev_pop(ds) AS speed_change_std, max(abs(ds)) AS speed_change_max, sqrt(avg(ds*ds)) AS speed_change_rms,
+ sum(t) AS turn_total_abs, avg(t) AS turn_abs_mean, max(t) AS turn_max, sqrt(avg(t*t)) AS turn_rms FROM u GROUP BY ALL)
+SELECT fish_id, bout_index, {_cols(VARIABLE)} FROM g JOIN s USING (fish_id, bout_index)""")
 def _(spark, d):
-    return rounded(FE.variable_features(bouts(spark, d)).drop("start", "end"))
+    return rounded(FE.variable_features(bouts(spark, d)).select(*IDS, *VARIABLE))
 
 
 @query("feat_15_mean_speed", f"WITH {SAMPLES} SELECT fish_id, bout_index, round(avg(speed),6) AS mean_speed FROM samples GROUP BY ALL")

@@ -206,7 +206,7 @@ m AS (SELECT vec_id, own, other, avg(dist) AS d FROM p GROUP BY ALL), s AS (SELE
 SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END),6) AS silhouette, count(*) AS n FROM s""")
 def _(spark, d):
     lab = C.assign(embeddings(spark, d), "embedding", seed_centres(spark, d)[11], ["vec_id", "embedding"])
-    return rounded(C.silhouette(lab, "vec_id", "embedding", "cluster", tiles=2 if "sf0.01" in d else None))
+    return rounded(C.silhouette(lab, "vec_id", "embedding", "cluster"))
 
 
 @query("clu_7_occupancy", f"""WITH {LAB}, g AS (SELECT * FROM (SELECT DISTINCT seed FROM lab) CROSS JOIN (SELECT unnest(range(10)) AS cluster)), c AS (SELECT seed, cluster, count(*) AS n FROM lab WHERE partition='validation' GROUP BY ALL), t AS (SELECT seed, sum(n) AS s FROM c GROUP BY seed)
