@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,19 @@ def op1_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op1_packing"] = op1_packing
+
+
+def op2_secrets(spark: SparkSession, d: str) -> DataFrame:
+    from . import secrets
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs)).select("doc_id", "findings")
+    count = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(F.filter("findings", lambda x: x["kind"] != "grammar")), 256).alias("base_sha256"), joined("findings").alias("spans"), count("grammar"),
+    )
+
+
+QUERIES["op2_secrets"] = op2_secrets
