@@ -44,3 +44,13 @@ def op2_secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op2_secrets"] = op2_secrets
+
+
+def op4_extraction(spark: SparkSession, d: str) -> DataFrame:
+    from . import extraction
+
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op4_extraction"] = op4_extraction
