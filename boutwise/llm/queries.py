@@ -54,3 +54,28 @@ def op4_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op4_extraction"] = op4_extraction
+
+
+def op8_language(spark: SparkSession, d: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", (language.remainder("doc_id") == 0).alias("held_out"))
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.identify(docs, model, ["doc_id", "held_out"])
+
+
+QUERIES["op8_language"] = op8_language
+
+
+TOXIC_AT = 0.5
+
+
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, d, "labels"), ["quality", "toxic"])
+    return toxicity.score(docs, chain, ["doc_id"]).withColumn("toxic", F.col("toxic_score") >= TOXIC_AT)
+
+
+QUERIES["op9_toxicity"] = op9_toxicity

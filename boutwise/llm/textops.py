@@ -62,14 +62,19 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarr
         at = to
 
 
-def word_table(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, word starts, word ends, number of words per text); words are runs of bytes other than the six ASCII blanks, within one text."""
+LETTERS = np.zeros(256, bool)  # ASCII letters, and every byte of other characters
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
+
+
+def word_table(data: np.ndarray, offsets: np.ndarray, lower: bool = True, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, number of words per text); words are runs of bytes other than the six ASCII blanks, or of
+    the bytes marked by `of`, within one text."""
     b = _LOWER[data] if lower else data
     n = len(b)
     if n == 0:
         z = np.empty(0, np.int64)
         return b, z, z, np.zeros(len(offsets) - 1, np.int64)
-    solid = ~_SPACE[b]
+    solid = ~_SPACE[b] if of is None else of[b]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
