@@ -79,3 +79,12 @@ def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES["op7_neighbours"] = op7_neighbours
