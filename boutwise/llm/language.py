@@ -83,7 +83,7 @@ class Model:
         s = [self.symbol[x] if j == 0 else np.where(x == 0, 0, self.symbol[x]) for j, x in enumerate(part)]
         many = len(languages)
         most_contexts = min(most_contexts, MOST_CELLS // (w * many))
-        low = np.full((many, 1, w), 1 / w)
+        low = np.full((many, 1, w), 1 / w, np.float32)
         # orders 0..3: contexts of that order, kept if frequent in all languages together
         node = np.zeros(1, np.int64)  # row of low for each full context of the order below
         for order in range(4):
@@ -99,7 +99,7 @@ class Model:
             up = node[suffix]
             row = np.full(w ** order, -1, np.int64)
             row[keep] = np.arange(len(keep))
-            fresh = np.empty((many, len(keep), w))
+            fresh = np.empty((many, len(keep), w), np.float32)
             inside = row[context] >= 0
             for g in range(many):
                 m = inside & (lang == g)

@@ -67,7 +67,7 @@ def op8_language(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["op8_language"] = op8_language
 
 
-TOXIC_AT = 0.5
+TOXIC_AT = 0.4
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
@@ -88,3 +88,22 @@ def op7_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op7_neighbours"] = op7_neighbours
+
+
+def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    from . import decontamination
+
+    found = decontamination.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), F.round("similarity", 9).alias("similarity"))
+
+
+QUERIES["op10_decontamination"] = op10_decontamination
+ORACLES["op10_decontamination"] = r"""
+WITH iw AS (SELECT item_id, [x for x in regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+') if x <> ''] w FROM benchmark),
+i AS (SELECT item_id, s, count(*) n FROM (SELECT item_id, unnest([array_to_string(w[k:k+4], ' ') for k in range(1, greatest(len(w) - 3, 2))]) s FROM iw WHERE len(w) > 0) GROUP BY ALL),
+t AS (SELECT item_id, sum(n) total FROM i GROUP BY 1),
+dw AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+') if x <> ''] w FROM documents),
+d AS (SELECT doc_id, s, count(*) n FROM (SELECT doc_id, unnest([array_to_string(w[k:k+4], ' ') for k in range(1, greatest(len(w) - 3, 2))]) s FROM dw WHERE len(w) > 0) GROUP BY ALL)
+SELECT doc_id, item_id, round(sum(least(d.n, i.n)) / any_value(total), 9) AS similarity
+FROM d JOIN i USING (s) JOIN t USING (item_id) GROUP BY doc_id, item_id HAVING sum(least(d.n, i.n)) >= 0.8 * any_value(total)
+"""

@@ -2,7 +2,7 @@
 
 The categories are predicted one after the other by logistic regressions; each model sees the text's features and the probabilities of the earlier categories.
 In training those probabilities come from out-of-fold models, so a later model learns from what it will meet. Features are the presence of letter
-runs and of their first bytes (lower-cased, by 64-bit hash), the `most_features` with the largest chi-square a category, and binned shares of capitals, digits and
+runs and of their first bytes (lower-cased, by 64-bit hash), the `most_features` with the largest chi-square a category (counted by Spark), and binned shares of capitals, digits and
 marks with the text's length.
 
 Defined results: null and empty texts score 0 in every category; rows whose labels hold a null aren't learned from, repeated labels of one id count once,
@@ -67,20 +67,50 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, per
 
 
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presences(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, int]]:
+    """(batch, first row, distinct features, their rows from 0, number of rows) of each slice."""
     for batch in batches:
-        for first, data, offsets in slices(batch.column(1)):
+        for first, data, offsets in slices(batch.column(column)):
             h, per = features(data, offsets)
-            doc = np.repeat(np.arange(len(per)), per)
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            h, size = h[new], np.bincount(doc[new], minlength=len(per))
-            at = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(c.slice(first, len(per)) for i, c in enumerate(batch.columns) if i != 1), lists],
-                                             [*(n for i, n in enumerate(batch.schema.names) if i != 1), "features"])
+            row = np.repeat(np.arange(len(per)), per)
+            yield batch, first, *distinct(h, row), len(per)
+
+
+def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]
+
+
+def _counts(many: int):
+    """Per feature the number of texts that have it, and of those in each category; the feature 0 stands for all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, h, row, n in _presences(batches, 1):
+            y = [batch.column(2 + i).slice(first, n).to_numpy(zero_copy_only=False).astype(float) for i in range(many)]
+            keys, at = np.unique(h, return_inverse=True)
+            cols = [np.bincount(at, minlength=len(keys)), *(np.bincount(at, v[row], len(keys)) for v in y)]
+            keys, cols = np.append(keys, np.uint64(0)), [np.append(c, t) for c, t in zip(cols, [n, *(v.sum() for v in y)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in cols)], ["h", "n", *(f"p{i}" for i in range(many))])
+
+    return run
+
+
+def _chosen(hashes):
+    """Rows with the chosen features they have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = hashes.value
+        for batch, first, h, row, n in _presences(batches, 1):
+            k = np.isin(h, keys)
+            at = np.concatenate(([0], np.cumsum(np.bincount(row[k], minlength=n)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h[k].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for i, c in enumerate(batch.columns) if i != 1), lists],
+                                             [*(x for i, x in enumerate(batch.schema.names) if i != 1), "features"])
+
+    return run
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -88,35 +118,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Linear:
-    """Logistic regression on chosen sparse presences and dense probabilities, by Adam on the whole sample."""
+    """Logistic regression on sparse presences and dense probabilities, by Adam on the whole sample."""
 
-    def __init__(self, hashes: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, most: int, l2: float, steps: int):
-        n = len(y)
+    def __init__(self, hashes: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, l2: float, steps: int):
+        n, p = len(y), float(y.mean()) if len(y) else 0.0
         self.hashes, self.weights, self.dense = np.empty(0, np.uint64), np.empty(0), np.zeros(dense.shape[1])
-        self.bias = 0.0
-        if n == 0 or y.min() == y.max():
-            self.bias = -30.0 if n == 0 or y.max() == 0 else 30.0
+        if p in (0.0, 1.0):
+            self.bias = 60 * p - 30
             return
-        keys, at = np.unique(hashes, return_inverse=True)
-        there, pos = np.bincount(at), np.bincount(at, y[row])
-        p = y.mean()
-        chi = (pos - there * p) ** 2 / (there * p * (1 - p)) * n / np.maximum(n - there, 1)
-        chi[there < 2] = 0
-        top = np.sort(np.lexsort((keys, -chi))[:most])
-        top = top[chi[top] > 0]
-        self.hashes = keys[top]
-        place = np.full(len(keys), -1)
-        place[top] = np.arange(len(top))
-        ok = place[at] >= 0
-        col, r = place[at][ok], row[ok]
-        k = len(top)
+        self.hashes, col = np.unique(hashes, return_inverse=True)
+        k = len(self.hashes)
         w = np.zeros(k + dense.shape[1] + 1)
         w[-1] = np.log(p / (1 - p))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
-            z = np.bincount(r, w[col], n) + dense @ w[k:-1] + w[-1]
+            z = np.bincount(row, w[col], n) + dense @ w[k:-1] + w[-1]
             e = (_sigmoid(z) - y) / n
-            g = np.concatenate((np.bincount(col, e[r], k), e @ dense, [e.sum()]))
+            g = np.concatenate((np.bincount(col, e[row], k), e @ dense, [e.sum()]))
             g[:-1] += l2 * w[:-1] / n
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
@@ -133,16 +151,18 @@ class Linear:
 
 
 class Chain:
-    def __init__(self, categories: list[str], lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS,
-                 most: int = MOST_FEATURES, l2: float = L2, steps: int = STEPS):
+    def __init__(self, categories: list[str], lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, wanted: list[np.ndarray], folds: int = FOLDS,
+                 l2: float = L2, steps: int = STEPS):
         self.categories, self.models = categories, []
         n = len(lists)
-        hashes = np.concatenate(lists) if n else np.empty(0, np.uint64)
-        row = np.repeat(np.arange(n), [len(x) for x in lists]) if n else np.empty(0, np.int64)
+        every = np.concatenate(lists) if n else np.empty(0, np.uint64)
+        rows = np.repeat(np.arange(n), [len(x) for x in lists]) if n else np.empty(0, np.int64)
         dense = np.zeros((n, 0))
         for c in range(len(categories)):
             y = labels[:, c] if n else np.empty(0)
-            self.models.append(Linear(hashes, row, dense, y, most, l2, steps))
+            own = np.isin(every, wanted[c])
+            hashes, row = every[own], rows[own]
+            self.models.append(Linear(hashes, row, dense, y, l2, steps))
             if c + 1 == len(categories):
                 break
             out = np.zeros(n)
@@ -152,7 +172,7 @@ class Chain:
                     continue
                 number = np.cumsum(train) - 1
                 k = train[row]
-                model = Linear(hashes[k], number[row[k]], dense[train], y[train], most, l2, steps)
+                model = Linear(hashes[k], number[row[k]], dense[train], y[train], l2, steps)
                 number = np.cumsum(~train) - 1
                 out[~train] = model.predict(hashes[~k], number[row[~k]], dense[~train])
             dense = np.column_stack((dense, out))
@@ -166,13 +186,7 @@ class Chain:
         h, per = features(data, offsets)
         row = np.repeat(np.arange(n), per)
         k = self.seen[(h >> np.uint64(44)).astype(np.int64)]
-        h, row = h[k], row[k]
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        if len(h):
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
+        h, row = distinct(h[k], row[k])
         dense = np.zeros((n, 0))
         for m in self.models:
             dense = np.column_stack((dense, m.predict(h, row, dense)))
@@ -189,12 +203,29 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     some = known.where(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__text").isNotNull())
             .join(F.broadcast(some), "__id").dropDuplicates(["__id"]).select("__id", "__text", *(f"__y{i}" for i in range(len(categories)))))
+    many, context = len(categories), docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(_collect, f"__id {kind}, " + ", ".join(f"__y{i} int" for i in range(len(categories))) + ", features array<long>").toPandas().sort_values("__id")
+    counts = (rows.mapInArrow(_counts(many), "h long, n long, " + ", ".join(f"p{i} long" for i in range(many))).groupBy("h")
+              .agg(F.sum("n").alias("n"), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(many))).where("n > 1 or h = 0").persist())
+    try:
+        wanted = [np.empty(0, np.uint64)] * many
+        for total in counts.where("h = 0").collect():
+            for i in range(many):
+                n, p = total["n"], total[f"p{i}"] / total["n"]
+                if 0 < p < 1:
+                    off = F.col(f"p{i}") - F.col("n") * F.lit(p)
+                    chi = off * off / (F.col("n") * F.lit(p * (1 - p))) * n / F.greatest(F.lit(n) - F.col("n"), F.lit(1))
+                    top = counts.where("h <> 0").select("h", chi.alias("chi")).orderBy(F.desc("chi"), "h").limit(most_features)
+                    wanted[i] = np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))
+    finally:
+        counts.unpersist()
+    keys = context.broadcast(np.unique(np.concatenate(wanted)))
+    got = (rows.mapInArrow(_chosen(keys), f"__id {kind}, " + ", ".join(f"__y{i} int" for i in range(many)) + ", features array<long>")
+           .toPandas().sort_values("__id"))
     lists = [np.asarray(x, np.int64).view(np.uint64) for x in got["features"]]
-    y = got[[f"__y{i}" for i in range(len(categories))]].to_numpy(float)
+    y = got[[f"__y{i}" for i in range(many)]].to_numpy(float)
     fold = (mix(np.arange(len(lists), dtype=np.uint64)) % np.uint64(folds)).astype(np.int64)
-    return Chain(list(categories), lists, y, fold, folds, most_features, l2, steps)
+    return Chain(list(categories), lists, y, fold, wanted, folds, l2, steps)
 
 
 def _score(told):
