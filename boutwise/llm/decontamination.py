@@ -75,9 +75,10 @@ def simhash(df: DataFrame, window: str, size: int, name: str = "fp") -> DataFram
     """The bitwise majority of an array of `size` hashes (and of a fixed word, for an odd number), by carry-save addition of whole 64-bit words."""
     keep = [c for c in df.columns if c != window]
     if size == 1:
-        return df.select(*keep, F.col(window)[0].alias(name))
+        return df.select(*keep, F.coalesce(F.col(window)[0], F.lit(0).cast("long")).alias(name))
     level = [f"p{i}" for i in range(size + 1)]
-    df = df.withColumns({c: F.col(window)[i] if i < size else F.lit(TIE) for i, c in enumerate(level)})
+    # coalesced, as the optimiser would else test the whole majority for null below the join
+    df = df.withColumns({c: F.coalesce(F.col(window)[i], F.lit(0).cast("long")) if i < size else F.lit(TIE) for i, c in enumerate(level)})
     bits, step = [], 0
     while level:
         above = []
@@ -150,7 +151,9 @@ def verified(docs: DataFrame, hits: DataFrame, items: DataFrame, threshold: floa
         lambda acc, s: acc + F.least(F.size(F.filter("ish", lambda y: y == s)), F.size(F.filter("dsh", lambda y: y == s))))
     # a short item is its whole sequence, so it's met by shingles of its own length
     short = F.transform(F.sequence(F.lit(1), F.greatest(F.size("part") - F.col("n") + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("part", i, F.col("n"))))
-    return (back.join(known, "rkey").withColumn("part", stretch).withColumn("dsh", F.when(F.col("n") < SHINGLE, short).otherwise(shingles(F.col("part"))))
+    # exploding a one-element array keeps the optimiser from working the array out again for each element of the next expression
+    once = lambda c: F.explode(F.array(c))
+    return (back.join(known, "rkey").withColumn("part", once(stretch)).withColumn("dsh", once(F.when(F.col("n") < SHINGLE, short).otherwise(shingles(F.col("part")))))
             .withColumn("similarity", held / F.size("ish")).where(F.col("similarity") >= threshold - 1e-9)
             .groupBy("rkey", "id", "item").agg(F.max_by(F.struct("similarity", (-F.col("begin")).alias("b")), F.struct("similarity", (-F.col("begin")).alias("b"))).alias("m"))
             .select(F.col("rkey").alias("row_key"), F.col("id"), F.col("item"), F.col("m.similarity").alias("similarity"), (-F.col("m.b")).alias("begin")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; set by the caller only where it's unset."""
+    """Cuts the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names. Where it's unset, a local session gets a folder of its own, and a
+    cluster an error, as its executors share no local folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
