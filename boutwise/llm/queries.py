@@ -107,3 +107,30 @@ d AS (SELECT doc_id, s, count(*) n FROM (SELECT doc_id, unnest([array_to_string(
 SELECT doc_id, item_id, round(sum(least(d.n, i.n)) / any_value(total), 9) AS similarity
 FROM d JOIN i USING (s) JOIN t USING (item_id) GROUP BY doc_id, item_id HAVING sum(least(d.n, i.n)) >= 0.8 * any_value(total)
 """
+
+
+def op3_licenses(spark: SparkSession, d: str) -> DataFrame:
+    from . import licenses
+
+    found = licenses.scan(table(spark, d, "documents"), licenses.templates(spark))
+    return found.select(F.col("id").alias("doc_id"), F.col("license").alias("license_id"), F.round("containment", 9).alias("containment"))
+
+
+def _license_sql() -> str:
+    from .licenses import TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    return rf"""
+WITH l(license_id, text) AS (VALUES {rows}),
+lw AS (SELECT license_id, [x for x in regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+') if x <> ''] w FROM l),
+i AS (SELECT DISTINCT license_id, unnest([array_to_string(w[k:k+4], ' ') for k in range(1, len(w) - 3)]) s FROM lw),
+t AS (SELECT license_id, count(*) total FROM i GROUP BY 1),
+dw AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[ \t\n\v\f\r]+') if x <> ''] w FROM documents),
+d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k+4], ' ') for k in range(1, len(w) - 3)]) s FROM dw)
+SELECT doc_id, license_id, round(count(*) / any_value(total), 9) AS containment
+FROM d JOIN i USING (s) JOIN t USING (license_id) GROUP BY doc_id, license_id HAVING count(*) >= 0.8 * any_value(total)
+"""
+
+
+QUERIES["op3_licenses"] = op3_licenses
+ORACLES["op3_licenses"] = _license_sql()
