@@ -134,3 +134,12 @@ FROM d JOIN i USING (s) JOIN t USING (license_id) GROUP BY doc_id, license_id HA
 
 QUERIES["op3_licenses"] = op3_licenses
 ORACLES["op3_licenses"] = _license_sql()
+
+
+def op5_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    from . import similarity
+
+    return similarity.join(table(spark, d, "documents"))
+
+
+QUERIES["op5_jaccard"] = op5_jaccard
