@@ -143,3 +143,17 @@ def op5_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op5_jaccard"] = op5_jaccard
+
+
+def op6_lm(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import lm
+
+    docs = table(spark, d, "documents").select("doc_id", "text", lm.held_out("doc_id").alias("held_out"))
+    train = docs.where(~F.col("held_out"))
+    model = lm.fit(train, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return lm.score(docs, train, model, ["doc_id", "held_out"])
+
+
+QUERIES["op6_lm"] = op6_lm
