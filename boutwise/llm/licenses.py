@@ -72,12 +72,13 @@ def _banded(df: DataFrame, size: int) -> DataFrame:
     """A row for each band: its number and its MinHash. Windows of one shingle need one band."""
     if size == 1:
         return df.select("*", F.lit(0).alias("band"), F.coalesce(F.col("w")[0], F.lit(0).cast("long")).alias("least")).drop("w")
-    def least(mask: int):
-        return F.coalesce(F.array_min(F.transform("w", lambda x: x.bitwiseXOR(F.lit(mask).cast("long")))), F.lit(0).cast("long"))
-
-    mins = [F.struct(F.lit(i).alias("band"), least(m).alias("least")) for i, m in enumerate(_masks())]
+    # one row a band first, then the least of plain columns, which Spark compiles; array functions with lambdas took ten times as long
     rest = [c for c in df.columns if c != "w"]
-    return df.select(*rest, F.explode(F.array(*mins)).alias("x")).select(*rest, F.col("x.band").alias("band"), F.col("x.least").alias("least"))
+    split = df.select(*rest, *(F.get("w", F.lit(i)).alias(f"w{i}") for i in range(size)))
+    masks = F.array(*(F.struct(F.lit(i).alias("band"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(_masks())))
+    each = split.select(*split.columns, F.explode(masks).alias("x"))
+    least = F.least(*(F.col(f"w{i}").bitwiseXOR(F.col("x.mask")) for i in range(size)))
+    return each.select(*rest, F.col("x.band").alias("band"), F.coalesce(least, F.lit(0).cast("long")).alias("least"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", license_col: str = "license_id", license_text_col: str = "text",
@@ -101,7 +102,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         hits = docs.sparkSession.createDataFrame([], f"rkey long, license {marks.schema['license'].dataType.simpleString()}, begin int")
     hits = scratch(hits.distinct())
     once = lambda c: F.explode(F.array(c))  # noqa: E731  kept from being worked out again in the next expression
-    back = docs.join(small(hits.select("rkey").distinct()), "rkey", "left_semi").select("rkey", "id", shingles(word_hashes(words(F.col("text")))).alias("dsh"))
+    back = docs.join(small(hits.select("rkey").distinct()), "rkey", "left_semi").select("rkey", "id", once(word_hashes(words(F.col("text")))).alias("dw"))
+    back = back.select("rkey", "id", once(shingles(F.col("dw"))).alias("dsh"))
     slack = WINDOW + F.ceil(F.size("lsh") / 4).cast("int")
     first = F.greatest(F.lit(1), F.col("begin") - slack)
     part = F.slice("dsh", first, F.greatest(F.lit(0), F.col("begin") + F.size("lsh") + slack - first))
