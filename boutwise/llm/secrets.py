@@ -6,8 +6,8 @@ candidate, a run of 16 or more token characters with a letter and a digit, is sc
 those under the automaton; those above the threshold become spans of kind `grammar`. Base spans always stay.
 
 Defined results: null and empty texts have no findings; positions are code points, end exclusive; repeated rows are scanned each; without labelled values
-there is no automaton and nothing is added; an empty table gives an empty result; other columns pass through `scan` unchanged, and a column named
-`findings` is an error of the caller.
+there is no automaton and nothing is added; an empty table gives an empty result; other columns pass through `scan` unchanged; the name of
+the findings is a parameter, for tables that have such a column.
 
 Scale: one pass without a shuffle. The automata are fitted on the values of at most `fit_documents` documents, taken by hash, and at most `fit_values` values a
 kind, each at most `FIT_LENGTH` long (documented bounds of a classifier's sample); everything else covers every whole text.
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUME
 FINDINGS = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 
-def _scan(model: Model, at: int, schema: pa.Schema):
+def _scan(model: Model, at: int, name: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,21 +234,21 @@ def _scan(model: Model, at: int, schema: pa.Schema):
                                 rows.append({"kind": "grammar", "start": a, "end": b, "score": g})
                         rows.sort(key=lambda r: (r["start"], KINDS.index(r["kind"]), r["end"]))
                 out.append(rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "findings"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, name])
 
     return run
 
 
-def scan(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, text_col: str = "text", name: str = "findings") -> DataFrame:
     """All columns of docs, and findings: kind, start, end, score (of grammar spans), by start."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scan(model, docs.columns.index(text_col), None), f"{schema}, findings {FINDINGS}")
+    return docs.mapInArrow(_scan(model, docs.columns.index(text_col), name), f"{schema}, `{name}` {FINDINGS}")
 
 
-def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]", name: str = "findings") -> DataFrame:
     """The text with every span replaced by a mark; overlapping spans give one mark."""
     merged = F.aggregate(
-        "findings", F.expr("cast(array() as array<struct<a:long,b:long>>)"),
+        name, F.expr("cast(array() as array<struct<a:long,b:long>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["end"]).alias("b")))),
@@ -257,4 +257,4 @@ def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -
         merged, F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("p")),
         lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col(text_col), (acc["p"] + 1).cast("int"), (x["a"] - acc["p"]).cast("int")), F.lit(mark)).alias("t"), x["b"].alias("p")))
     whole = F.concat(done["t"], F.substring(F.col(text_col), (done["p"] + 1).cast("int"), F.length(text_col)))
-    return scanned.withColumn(text_col, F.when(F.size("findings") > 0, whole).otherwise(F.col(text_col))).drop("findings")
+    return scanned.withColumn(text_col, F.when(F.size(name) > 0, whole).otherwise(F.col(text_col))).drop(name)

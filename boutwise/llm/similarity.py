@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .sqltext import SHINGLE, scratch, small
+from .sqltext import SHINGLE, row_key, scratch, small
 from .textops import mix, shingle_hashes, slices, word_hashes, word_table
 
 PERCENT = 80
@@ -72,12 +72,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(h):
                 cls[row] = set_class(h)
                 seen[int(cls[row])] = h
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(cls, mask=n == 0)], ["kind", "doc_id", "n", "cls"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(2), pa.array(n), pa.array(cls, mask=n == 0)],
+                                         ["kind", "doc_id", "rkey", "n", "cls"])
         if seen:
             keys, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
             keys, count = keys[count > 1], count[count > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(count), pa.array(keys.view(np.int64))],
-                                             ["kind", "doc_id", "n", "cls"])
+            none = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), none, none, pa.array(count), pa.array(keys.view(np.int64))],
+                                             ["kind", "doc_id", "rkey", "n", "cls"])
 
 
 def _prefixes(told, percent: int):
@@ -258,12 +260,13 @@ def _verify_groups(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row, and row_key, which names it by id and text."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = src.withColumn("rkey", row_key(F.col("doc_id"), F.col("text")))
     text = src.select("text").where("text is not null")
-    known = scratch(src.mapInArrow(_classes, "kind int, doc_id long, n long, cls long"))
-    rows = known.where("kind = 0").select("doc_id", "n", "cls")
+    known = scratch(src.mapInArrow(_classes, "kind int, doc_id long, rkey long, n long, cls long"))
+    rows = known.where("kind = 0").select("doc_id", "rkey", "n", "cls")
     often = (known.where("kind = 1").groupBy(F.col("cls").alias("h")).agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas())
     h, n = often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(h)
@@ -288,4 +291,4 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("total"))
     names = scratch(named.join(least.where("total > 1"), "root").select("cls", "component_id"))
     return (rows.join(small(names), "cls", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rkey").alias("row_key")))

@@ -7,7 +7,7 @@ marks with the text's length.
 
 Defined results: null and empty texts score 0 in every category; rows whose labels hold a null aren't learned from, repeated labels of one id count once,
 by their largest values; a category with one value only, or no labelled row, scores that value, or 0; repeated rows score alike; an empty
-table gives an empty result; the columns to keep may not be named like a score.
+table gives an empty result; a suffix keeps the scores apart from like-named columns.
 
 Scale: the scores are one pass without a shuffle. The fit reads the documents of at most about `fit_rows` labelled ids, taken by hash (the documented bound
 of a classifier's sample); that list alone is broadcast, and the models are bounded by `most_features` weights a category.
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     return Chain(list(categories), lists, y, fold, wanted, folds, l2, steps)
 
 
-def _score(told):
+def _score(told, suffix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = told.value
         for batch in batches:
@@ -237,13 +237,13 @@ def _score(told):
             for first, data, offsets in slices(batch.column(at)):
                 out[first:first + len(offsets) - 1] = chain.scores(data, offsets)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(np.ascontiguousarray(x)) for x in out.T)],
-                                             [*batch.schema.names[:at], *(f"{c}_score" for c in chain.categories)])
+                                             [*batch.schema.names[:at], *(f"{c}{suffix}" for c in chain.categories)])
 
     return run
 
 
-def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns to keep, and a probability <category>_score for each category."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}_score` double" for c in chain.categories)])
+def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text", suffix: str = "_score") -> DataFrame:
+    """The columns to keep, and a probability <category><suffix> for each category."""
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"`{c}{suffix}` double" for c in chain.categories)])
     told = docs.sparkSession.sparkContext.broadcast(chain)
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(_score(told), schema)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(_score(told, suffix), schema)
