@@ -61,6 +61,15 @@ def first_rows(df: DataFrame, order: Column, n: int, ties: Sequence[str] = ()) -
     )
 
 
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL keys meet NULL keys; the left keys stay."""
+    r = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(r[f"__{k}"])
+    return left.join(r, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], bucket: Column, prefix: str = "prev_") -> DataFrame:
     """The values of `cols` in the row before this one within the key, gaps in `order` allowed."""
     b = df.withColumn("_bucket", bucket)
@@ -70,7 +79,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]
         *keys, "_bucket", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")
     )
     here = b.withColumn("_prev", F.lag(F.struct(*cols)).over(inner))
-    joined = here.join(carried, [*keys, "_bucket"]).withColumn("_prev", F.coalesce("_prev", "_carry"))
+    joined = join_nullsafe(here, carried, [*keys, "_bucket"]).withColumn("_prev", F.coalesce("_prev", "_carry"))
     for c in cols:
         joined = joined.withColumn(prefix + c, F.col("_prev")[c])
     return joined.drop("_bucket", "_prev", "_carry")

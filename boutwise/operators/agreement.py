@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import clip01, pairs, plogp
-from ..functions.ordering import quantiles
+from ..functions.ordering import join_nullsafe, quantiles
 from .clustering import cluster_counts
 from .tiles import reduce_tiles, tile_count
 
@@ -84,9 +84,9 @@ def with_margins(ct: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
     """Cells with n_a, n_b and n_all; margins come from their own small aggregates, not from windows."""
     rows = ct.groupBy(*by, a).agg(F.sum("n").alias("n_a"))
     cols = ct.groupBy(*by, b).agg(F.sum("n").alias("n_b"))
-    out = ct.join(rows, [*by, a]).join(cols, [*by, b])
+    out = join_nullsafe(join_nullsafe(ct, rows, [*by, a]), cols, [*by, b])
     if by:
-        return out.join(ct.groupBy(*by).agg(F.sum("n").alias("n_all")), list(by))
+        return join_nullsafe(out, ct.groupBy(*by).agg(F.sum("n").alias("n_all")), list(by))
     return out.withColumn("n_all", ct.agg(F.sum("n")).scalar())
 
 
@@ -97,7 +97,7 @@ def cramers_v(ct: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFram
     n = F.col("n").cast("double")
     g = cells.groupBy(*by).agg(
         F.sum(n * n / F.col("n_a") / F.col("n_b")).alias("_s"), F.max("n_all").alias("n"),
-        F.countDistinct(a).alias("n_a"), F.countDistinct(b).alias("n_b"),
+        F.countDistinct(F.struct(a)).alias("n_a"), F.countDistinct(F.struct(b)).alias("n_b"),
     )
     chi2 = F.greatest(F.col("n") * (F.col("_s") - 1.0), F.lit(0.0))
     dof = F.least(F.col("n_a"), F.col("n_b")) - 1
@@ -258,7 +258,7 @@ def within(ct: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     n = F.col("n_a").cast("double")
     h = F.ln(n) - F.col("_l") / n
     stats = g.select(*key, "n_a", F.exp(h).alias("effective_number"), (F.col("_top") / n).alias("dominant_share"))
-    return ct.join(stats, key).select(*key, b, "n", (F.col("n") / F.col("n_a")).alias("fraction"), "n_a", "effective_number", "dominant_share")
+    return join_nullsafe(ct, stats, key).select(*key, b, "n", (F.col("n") / F.col("n_a")).alias("fraction"), "n_a", "effective_number", "dominant_share")
 
 
 def within_map(ct: DataFrame, a: str, b: str) -> DataFrame:

@@ -314,8 +314,9 @@ def silhouette_rows(df: DataFrame, key: str, vec: str, cluster: str, rows_per_ti
     return agg.select(key, F.col("own").alias(cluster), F.when(F.col("b").isNotNull(), s).alias("s"))
 
 
-def silhouette(df: DataFrame, key: str, vec: str, cluster: str, max_rows: int | None = 20000, seed: int = 0, fill: float | None = None, **kw) -> DataFrame:
-    """Mean silhouette of at most max_rows fixed rows; one cluster only gives `fill` (NULL)."""
+def silhouette(df: DataFrame, key: str, vec: str, cluster: str, max_rows: int | None = None, seed: int = 0, fill: float | None = None, **kw) -> DataFrame:
+    """Mean silhouette of all rows, or of max_rows fixed ones where the caller asks for a sample; one cluster
+    only gives `fill` (NULL)."""
     from .sampling import subsample
 
     data = df if max_rows is None else subsample(df, key, max_rows, seed)
@@ -326,7 +327,9 @@ def silhouette(df: DataFrame, key: str, vec: str, cluster: str, max_rows: int |
 
 def cluster_counts(labels: DataFrame, k: int, cluster: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
     """Counts and fractions of clusters 0..k-1, empty ones included, from one aggregate per group."""
-    agg = labels.groupBy(*by).agg(
+    known = F.col(cluster).isNull() | F.col(cluster).between(0, k - 1)
+    told = F.when(known, F.col(cluster)).otherwise(F.raise_error(F.concat(F.lit("cluster outside 0..k-1: "), F.col(cluster).cast("string"))).cast(labels.schema[cluster].dataType))
+    agg = labels.withColumn(cluster, told).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_all"), F.array(*[F.count_if(F.col(cluster) == j) for j in range(k)]).alias("_n")
     )
     return agg.select(*by, "n_all", F.posexplode("_n").alias(cluster, "n")).withColumn(

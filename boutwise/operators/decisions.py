@@ -34,22 +34,20 @@ CLAIMS_SET1 = [
     Claim("llc_secondary_interpretation", (("turn_eta", ">=", 0.10), ("turn_rho", ">=", 0.50), ("turn_directions", ">=", 4)), (("turn_eta", ">=", 0.03), ("turn_rho", ">=", 0.25))),
     Claim("eight_clusters_are_distinct_novel_behaviors"),
 ]
-# The thresholds of set 2 that rest on a single metric or a pair.
-CLAIMS_SET2 = [
-    Claim("frozen_k8_clustering_has_moderate_cross_seed_structure", (("cross_seed_ari", ">=", 0.30),), (("cross_seed_ari", ">=", 0.15),)),
-    Claim("speed_dependence_reproduces", (("speed_eta", ">=", 0.30),), (("speed_eta", ">=", 0.10),)),
-    Claim("mean_speed_only_collapse_is_rejected", (("speed_ba", "<", 0.50),), (("speed_ba", "<", 0.70),)),
-    Claim("fish_well_identity_leakage_is_low", (("identity_v", "<=", 0.20),), (("identity_v", "<=", 0.35),)),
-    Claim("recording_and_context_leakage_is_low", (("context_v", "<=", 0.20),), (("context_v", "<=", 0.35),)),
-    Claim("coarse_baseline_clustering_differs_from_ssl", (("baseline_ari", "<", 0.30),), (("baseline_ari", "<", 0.50),)),
-    Claim("handcrafted_feature_probes_are_only_moderately_predictive", (("linear_ba", "<", 0.65), ("nonlinear_ba", "<", 0.65)), (("nonlinear_ba", "<", 0.80),)),
-    Claim("strong_nonlinear_recoverability_does_not_reproduce", (("nonlinear_ba", "<", 0.70),), (("nonlinear_ba", "<", 0.85),)),
-    Claim("acceleration_speed_change_heterogeneity_reproduces", (("speed_change_eta", ">=", 0.25), ("speed_change_rho", ">=", 0.70)), (("speed_change_eta", ">=", 0.10),)),
-    Claim("turning_magnitude_is_a_partial_analogue", (("turn_total_eta", ">=", 0.10), ("turn_total_eta", "<", 0.50), ("turn_total_rho", ">=", 0.50)), (("turn_total_eta", ">=", 0.05),)),
-    Claim("strong_duration_heterogeneity_does_not_reproduce", (("duration_eta", "<", 0.20),), (("duration_eta", "<", 0.35),)),
-    Claim("signed_net_turning_does_not_reproduce_strongly", (("turn_net_eta", "<", 0.05),), (("turn_net_eta", "<", 0.15),)),
-    Claim("direct_class_replication"),
-]
+
+
+def claims_from(rules: DataFrame) -> list[Claim]:
+    """Claims from a table (claim, status, metric, op, limit) of SUPPORTED and WEAKENED bounds, one row a bound. A claim with a row without
+    a metric has no rule. The table is a study's own list of rules, not data."""
+    found: dict[str, dict[str, list[Bound]]] = {}
+    for r in rules.select("claim", "status", "metric", "op", "limit").orderBy("claim", "status", "metric", "op", "limit").collect():
+        bounds = found.setdefault(r["claim"], {})
+        if r["metric"] is not None:
+            bounds.setdefault(r["status"], []).append((r["metric"], r["op"], float(r["limit"])))
+    return [
+        Claim(name, tuple(b.get("SUPPORTED", ())), tuple(b["WEAKENED"]) if "WEAKENED" in b else None)
+        for name, b in found.items()
+    ]
 
 
 def _holds(bound: Bound) -> Column:

@@ -88,15 +88,19 @@ def logistic_probe(
 
 
 def nonlinear_probe(
-    train: DataFrame, held: DataFrame, features: Sequence[str], label: str, method: str = "boosted", trees: int = 20, depth: int = 4, seed: int = 0
+    train: DataFrame, held: DataFrame, features: Sequence[str], label: str, method: str = "boosted", trees: int = 20, depth: int = 4, seed: int = 0,
+    rate: float = 0.1, min_leaf: int = 1, subsampling: float = 1.0,
 ) -> DataFrame:
-    """Tree probe: one boosted model per class, or a random forest: (truth, pred)."""
+    """Tree probe: one boosted model per class (learning rate, least rows in a leaf, share of rows a round), or a
+    random forest: (truth, pred)."""
     base, data, rows, names = _prepare(train, held, features, label, False, True)
     if method == "boosted":
-        base = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed)
-        model = OneVsRest(classifier=base, featuresCol="_x", labelCol="_y").fit(data)
+        tree = GBTClassifier(
+            featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=rate, minInstancesPerNode=min_leaf, subsamplingRate=subsampling
+        )
+        model = OneVsRest(classifier=tree, featuresCol="_x", labelCol="_y").fit(data)
     else:
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
+        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=min_leaf).fit(data)
     base.unpersist()
     return _answers(model, rows, names)
 

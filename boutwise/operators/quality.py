@@ -104,7 +104,7 @@ def heading_unit(bouts: DataFrame, heading: str = "heading", stride: int = 1) ->
     v = bouts.select(F.explode(picked).alias("_h")).where(~A.nonfinite(F.col("_h"))).select(F.abs("_h").alias("_h"))
     q = quantiles(v, [], "_h", {"p99_abs": 0.99})
     p = F.col("p99_abs")
-    unit = F.when(p <= 2 * A.PI + 0.25, "radians").when(p <= 365.0, "degrees").otherwise("unknown")
+    unit = F.when(p <= 2 * A.PI + 0.25, "radians_likely").when(p <= 365.0, "degrees_likely").otherwise("unknown")
     return q.select(v.agg(F.max("_h")).scalar().alias("max_abs"), "p99_abs", unit.alias("unit"))
 
 

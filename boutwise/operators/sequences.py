@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,10 @@ def markov_score(table: DataFrame, tail: bool = True) -> DataFrame:
     ok = (e > 0) & (e < 1)
     out = table.withColumn("score", F.when(ok, _likelihood_ratio(f, e, n) / q))
     if tail:
-        out = out.withColumn("neg_log10_p", -F.log10(F.greatest(chi2_tail(F.coalesce("score", F.lit(0.0)), F.lit(1.0)), F.lit(1e-300))))
+        # far out the tail underflows, so its logarithm comes from the series of erfc(sqrt(x / 2)); no score, no tail
+        x = F.col("score")
+        far = x / 2.0 / math.log(10.0) + F.log10(F.sqrt(math.pi * x / 2.0)) - F.log10(1.0 - 1.0 / x + 3.0 / (x * x))
+        out = out.withColumn("neg_log10_p", F.when(x > 200.0, far).when(x.isNotNull(), -F.log10(chi2_tail(F.least(x, F.lit(200.0)), F.lit(1.0)))))
     return out
 
 

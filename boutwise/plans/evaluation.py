@@ -18,7 +18,7 @@ from ..sources.sinks import report_rows
 
 def held_out(
     rows: DataFrame, key: str, vec: str, models: dict[int, C.Centres], reference: int, features: Sequence[str], unit: str, context: str,
-    partition: str = "partition", train: str = "train", test: str = "test", silhouette_rows: int = 20000,
+    partition: str = "partition", train: str = "train", test: str = "test", silhouette_rows: int | None = None,
 ) -> DataFrame:
     """Tidy (seed, metric, value) of the test rows: frozen assignment, alignment learnt on training
     rows, margin, occupancy, silhouette, identity and context association, feature effects, pairs."""

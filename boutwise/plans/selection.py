@@ -21,9 +21,10 @@ def _fit(train: DataFrame, vec: str, method: str, k: int, seed: int, n_init: int
     return C.fit_kmeans(train, vec, k, seed, n_init) if method == "kmeans" else C.fit_gmm(train, vec, k, seed, n_init)
 
 
-def fit_stability(train: DataFrame, key: str, vec: str, method: str, k: int, seed: int, repeats: int, max_rows: int, n_init: int = 1) -> DataFrame:
+def fit_stability(train: DataFrame, key: str, vec: str, method: str, k: int, seed: int, repeats: int, max_rows: int | None, n_init: int = 1) -> DataFrame:
     """Mean pairwise ARI of repeated fits (seed + 1009 i) on one fixed subsample: one row (stability)."""
-    data = subsample(train.select(key, vec), key, max_rows, seed)
+    rows = train.select(key, vec)
+    data = rows if max_rows is None else subsample(rows, key, max_rows, seed)
     seeds = [seed + 1009 * i for i in range(repeats)]
     models = {s: _fit(data, vec, method, k, s, n_init) for s in seeds}
     labels = None
@@ -36,7 +37,7 @@ def fit_stability(train: DataFrame, key: str, vec: str, method: str, k: int, see
 
 def candidates(
     train: DataFrame, held: DataFrame, key: str, vec: str, methods: Sequence[str], ks: Sequence[int], seeds: Sequence[int],
-    n_init: int = 10, silhouette_rows: int = 20000, stability_rows: int = 50000, repeats: int = 3,
+    n_init: int = 10, silhouette_rows: int | None = None, stability_rows: int | None = None, repeats: int = 3,
 ) -> DataFrame:
     """One row per (method, k, seed) with silhouette, stability, smallest fraction, empty clusters and
     score. The fits are a driver loop over one cached frame; each candidate's numbers stay lazy."""
@@ -68,7 +69,7 @@ def sweep(spark: SparkSession, train: DataFrame, held: DataFrame, key: str, vec:
     return g.select("method", "k", "n_fits", F.col("score_mean").alias("score"), "score_std", F.col("silhouette_mean").alias("silhouette"), F.col("stability_mean").alias("stability"))
 
 
-def refit(train: DataFrame, validation: DataFrame, test: DataFrame, key: str, vec: str, method: str, k: int, seed: int, n_init: int = 10, silhouette_rows: int = 20000) -> DataFrame:
+def refit(train: DataFrame, validation: DataFrame, test: DataFrame, key: str, vec: str, method: str, k: int, seed: int, n_init: int = 10, silhouette_rows: int | None = None) -> DataFrame:
     """The chosen model fitted on train and validation, scored once on test: one row."""
     model = _fit(train.unionByName(validation), vec, method, k, seed, n_init)
     if isinstance(model, C.Centres):

@@ -82,6 +82,12 @@ def cut_bouts(samples: DataFrame, key: str, order: Sequence[str], slot: Column,
     return runs.select(key, "bout_index", *[F.col(f"_run.{f}").alias(f) for f in fields])
 
 
+def whole_bouts(samples: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """All samples of a key as one row with array columns, whatever their number; `bout_index` is 0."""
+    runs = samples.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("_run"))
+    return runs.select(key, F.lit(0).cast("bigint").alias("bout_index"), *[F.col(f"_run.{f}").alias(f) for f in fields])
+
+
 def scan_bouts(
     bouts: DataFrame,
     fish: DataFrame | None = None,

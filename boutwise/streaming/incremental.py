@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..functions.ordering import join_nullsafe, previous
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one the cluster names; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="boutwise-")
+    """A new folder below the one that spark.checkpoint.dir names. Where it's unset, a local session gets a folder of its own and a cluster an
+    error, as its executors share no local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="boutwise-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,38 +52,31 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return out.drop("epoch") if "epoch" in out.columns else out
 
 
-class _LastEnd(StatefulProcessor):
-    """Keeps the end of the last accepted bout of a unit."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "end double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = self.last.get()[0] if self.last.exists() else None
-        for pdf in rows:
-            pdf = pdf.sort_values("start", kind="stable")
-            # a row that starts before the latest end seen so far is late and does not move the state
-            out, late, gap = [], [], []
-            for s, e in zip(pdf["start"], pdf["end"]):
-                is_late = end is not None and e < end
-                late.append(is_late)
-                gap.append(None if end is None or is_late else s - end)
-                if not is_late:
-                    end = e
-            out = pd.DataFrame({"key": key[0], "start": pdf["start"].to_numpy(), "end": pdf["end"].to_numpy(), "interval": pd.Series(gap, dtype="float64"), "late": late})
-            yield out
-        if end is not None:
-            self.last.update((float(end),))
-
-    def close(self) -> None:
-        pass
-
-
-def online_intervals(stream: DataFrame, key: str) -> DataFrame:
-    """(key, start, end, interval, late) for bouts arriving in order within a unit; the first has no
-    interval, a bout older than the stored end is flagged late and not used."""
+def online_intervals(stream: DataFrame, key: str, block: float = 3600.0) -> DataFrame:
+    """Runs the stream over what is available: (key, start, end, interval, late) per bout. Within a micro-batch a unit's bouts are ordered by
+    start, whatever order they came in; a bout that ends before the latest end of the batches before is late, gets no interval
+    and moves nothing. The first bout has no interval. One stored end per unit links the batches; `block` (in units of start) splits
+    a long unit over tasks."""
+    spark = stream.sparkSession
+    out, ends, ckpt = (scratch(spark, f"intervals-{part}") for part in ("rows", "ends", "progress"))
     kind = dict(stream.dtypes)[key]
-    return stream.select(F.col(key), "start", "end").groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_LastEnd(), outputStructType=f"key {kind}, start double, end double, interval double, late boolean",
-        outputMode="append", timeMode="none",
-    ).withColumnRenamed("key", key)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        # an epoch reads what the one before has left, so a replayed epoch gives the same rows
+        if epoch:
+            stored = spark.read.parquet(f"{ends}/{epoch - 1}")
+        else:
+            stored = spark.createDataFrame([], f"{key} {kind}, last double")
+        rows = join_nullsafe(batch.select(key, F.col("start").cast("double"), F.col("end").cast("double")), stored, [key], "left")
+        rows = rows.withColumn("late", F.coalesce(F.col("end") < F.col("last"), F.lit(False)))
+        good = previous(rows.where("not late").withColumn("_at", F.struct("start", "end")), [key], "_at", ["end"], F.floor(F.col("start") / block))
+        good = good.withColumn("interval", F.col("start") - F.coalesce("prev_end", "last"))
+        late = rows.where("late").withColumn("interval", F.lit(None).cast("double"))
+        cols = [key, "start", "end", "interval", "late"]
+        good.select(*cols).unionByName(late.select(*cols)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        newest = batch.groupBy(key).agg(F.max(F.col("end").cast("double")).alias("last"))
+        stored.unionByName(newest).groupBy(key).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{ends}/{epoch}")
+
+    q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("epoch")

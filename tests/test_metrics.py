@@ -190,3 +190,18 @@ def test_claims(spark):
     assert got["general_ssl_k8_structure"] == "WEAKENED" and got["baseline_and_ssl_organizations_differ"] == "WEAKENED"
     assert got["low_fish_identity_leakage"] == "CONTRADICTED" and got["low_context_leakage"] == "NOT_TESTABLE"
     assert got["eight_clusters_are_distinct_novel_behaviors"] == "NOT_TESTABLE" and got["long_cs_primary_interpretation"] == "WEAKENED"
+
+
+def test_null_categories_stay_in_every_sum(spark):
+    rows = [("x", "p"), ("x", "p"), ("y", "q"), ("y", None), (None, "q"), (None, None), ("x", "q")]
+    ct = G.contingency(spark.createDataFrame(rows, "a string, b string"), "a", "b")
+    cells = G.with_margins(ct, "a", "b")
+    assert cells.agg(F.sum("n")).first()[0] == 7 and cells.count() == ct.count()
+    v = G.cramers_v(ct, "a", "b").first()
+    assert (v["n"], v["n_a"], v["n_b"]) == (7, 3, 3)
+    assert G.within(ct, "a", "b").count() == ct.count()
+
+
+def test_a_label_outside_the_range_is_an_error(spark):
+    with pytest.raises(Exception, match="outside"):
+        C.cluster_counts(spark.createDataFrame([(0,), (5,)], "cluster long"), 3).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from boutwise.operators import augment as AU
 from boutwise.operators import bootstrap as BS
 from boutwise.operators import clustering as C
+from boutwise.operators import decisions as D
 from boutwise.operators import embedding as E
 from boutwise.operators import linear as L
 from boutwise.operators import probes as P
@@ -191,7 +192,7 @@ def test_stream_flags_late_rows(spark, tmp_path):
     for i, rows in enumerate([[(1, 0.0, 1.0), (1, 3.0, 4.0), (2, 0.0, 9.0)], [(1, 2.0, 2.5), (1, 6.0, 7.0), (2, 10.0, 11.0)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["k"], r["start"]): (r["interval"], r["late"]) for r in ST.run_to_table(ST.online_intervals(s, "k"), "append", "late").collect()}
+    got = {(r["k"], r["start"]): (r["interval"], r["late"]) for r in ST.online_intervals(s, "k").collect()}
     assert got[(1, 0.0)] == (None, False) and got[(1, 3.0)] == (2.0, False) and got[(2, 10.0)] == (1.0, False)
     assert got[(1, 2.0)] == (None, True) and got[(1, 6.0)] == (2.0, False)
 
@@ -203,3 +204,22 @@ def test_geometry_of_equal_embeddings(spark, blobs):
     assert pairs.where("a = b").count() == 0 and pairs.count() == 50
     r = E.geometry_similarity(E.pair_distances(pairs, per, "id", "v"), [1, 2]).first()
     assert abs(r["rho"] - 1) < 1e-9 and r["n"] == 50
+
+
+def test_unordered_hot_unit_has_no_late_rows(spark, tmp_path):
+    """One unit, many bouts that come unordered in one batch; a plain session without a state store suffices."""
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 4.0).alias("end")).orderBy(F.xxhash64("start"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    got = ST.online_intervals(s, "k")
+    assert got.count() == n and got.where("late").count() == 0 and got.where("interval = 6.0").count() == n - 1
+
+
+def test_claims_come_from_a_table(spark):
+    rules = spark.createDataFrame(
+        [("a", "SUPPORTED", "m", ">=", 0.3), ("a", "WEAKENED", "m", ">=", 0.1), ("b", "NOT_TESTABLE", None, None, None)],
+        "claim string, status string, metric string, op string, limit double",
+    )
+    got = {r["claim"]: r["status"] for r in D.assess(spark.createDataFrame([(0.2,)], "m double"), D.claims_from(rules)).collect()}
+    assert got == {"a": "WEAKENED", "b": "NOT_TESTABLE"}

@@ -131,7 +131,8 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seed_centres(spark: SparkSession, d: str, k: int = K) -> dict[int, C.Centres]:
-    e = table(spark, d, "embeddings")
+    # drawn from the training part alone, as every frozen model is
+    e = embeddings(spark, d).where("partition = 'train'")
     return {s: C.hashed_centres(e, "vec_id", "embedding", k, s) for s in SEEDS}
 
 
@@ -149,7 +150,7 @@ emb AS (SELECT vec_id, embedding::DOUBLE[] AS e, label::BIGINT AS label,
   FROM embeddings)"""
 LAB = EMB + """,
 centres AS (SELECT seed, e AS c, row_number() OVER (PARTITION BY seed ORDER BY md5(seed||':'||vec_id), vec_id)-1 AS cluster
-  FROM emb, (SELECT unnest([11,23,37,51,79]) AS seed)
+  FROM emb, (SELECT unnest([11,23,37,51,79]) AS seed) WHERE partition='train'
   QUALIFY row_number() OVER (PARTITION BY seed ORDER BY md5(seed||':'||vec_id), vec_id) <= 8),
 distances AS (SELECT vec_id, label, partition, seed::BIGINT AS seed, cluster, list_distance(e, c) AS dist FROM emb, centres),
 lab AS (SELECT vec_id, label, partition, seed, cluster FROM distances
@@ -159,7 +160,6 @@ lab AS (SELECT vec_id, label, partition, seed, cluster FROM distances
 # ---- variable-length rows: lineitem by order ---------------------------------------------------
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-MAX_LINES = 1024  # a longer order continues in its next bout
 
 
 def line_slot() -> Column:
@@ -168,9 +168,9 @@ def line_slot() -> Column:
 
 
 def order_paths(spark: SparkSession, d: str) -> DataFrame:
-    """One row per order (and per 1024 lines of it): x, y and heading arrays in a fixed line order."""
+    """One row per order: x, y and heading arrays in a fixed line order."""
     li = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
-    b = B.cut_bouts(li, "l_orderkey", LINE_ORDER, line_slot(), MAX_LINES, ["l_quantity", "l_extendedprice", "l_discount"])
+    b = B.whole_bouts(li, "l_orderkey", LINE_ORDER, ["l_quantity", "l_extendedprice", "l_discount"])
     return b.select(
         "l_orderkey", "bout_index", F.col("l_quantity").alias("x"), F.transform("l_extendedprice", lambda v: v / 1000.0).alias("y"),
         F.transform("l_discount", lambda v: v * 60.0).alias("heading"),
@@ -178,7 +178,7 @@ def order_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 LINES = """
-lines AS (SELECT l_orderkey, (rn-1)//1024 AS bout_index, (rn-1)%1024+1 AS i, x, y, heading, count(*) OVER (PARTITION BY l_orderkey, (rn-1)//1024) AS n FROM (
+lines AS (SELECT l_orderkey, 0::BIGINT AS bout_index, rn AS i, x, y, heading, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (
   SELECT l_orderkey, l_quantity AS x, l_extendedprice/1000.0 AS y, l_discount*60.0 AS heading,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn FROM lineitem)),
 moves AS (SELECT *, x-lag(x) OVER w AS dx, y-lag(y) OVER w AS dy,

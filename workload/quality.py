@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from boutwise.functions.ordering import row_numbers
 from boutwise.operators import agreement as G
 from boutwise.operators import blinding as BL
 from boutwise.operators import decisions as D
@@ -16,7 +15,7 @@ from boutwise.streaming.incremental import scratch
 
 from .agreement import PAIRG, SEEDG, wide_labels
 from .base import (
-    BOUTS, CORE, EMB, FISH, LAB, LINE_ORDER, LINES, MAX_LINES, SAMPLES, SEEDS, bouts, embeddings, fish, labelings, line_slot, order_paths, query, rounded, split, table,
+    BOUTS, CORE, EMB, FISH, LAB, LINE_ORDER, LINES, SAMPLES, SEEDS, bouts, embeddings, fish, labelings, order_paths, query, rounded, split, table,
 )
 from .features import IDS
 
@@ -57,16 +56,14 @@ def _(spark, d):
     return B.attach_conditions(o, cond, ["recording_id"])
 
 
-@query("src_6_flatten_recordings", """WITH n AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)-1)//1024 AS part FROM lineitem)
-SELECT l_orderkey||'/'||part AS recording_id, dense_rank() OVER (PARTITION BY l_orderkey, part ORDER BY l_linenumber) AS well,
-row_number() OVER (PARTITION BY l_orderkey, part, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity)-1 AS bout_index, l_partkey AS part, l_quantity AS quantity FROM n""")
+@query("src_6_flatten_recordings", """SELECT l_orderkey::VARCHAR AS recording_id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS well,
+row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity)-1 AS bout_index, l_partkey AS part, l_quantity AS quantity FROM lineitem""")
 def _(spark, d):
-    # recordings of at most 1024 bouts, nested as recording -> wells -> bouts
+    # nested as recording -> wells -> bouts
     li = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
-    li = row_numbers(li, ["l_orderkey"], LINE_ORDER, line_slot(), "rn").withColumn("part", F.floor((F.col("rn") - 1) / MAX_LINES))
-    b = li.select("l_orderkey", "part", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity")).alias("b"))
-    w = b.groupBy("l_orderkey", "part", "l_linenumber").agg(F.sort_array(F.collect_list("b")).alias("bouts"))
-    r = w.groupBy(F.concat_ws("/", "l_orderkey", "part").alias("recording_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "bouts"))).alias("w"))
+    b = li.select("l_orderkey", "l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("quantity")).alias("b"))
+    w = b.groupBy("l_orderkey", "l_linenumber").agg(F.sort_array(F.collect_list("b")).alias("bouts"))
+    r = w.groupBy(F.col("l_orderkey").cast("string").alias("recording_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "bouts"))).alias("w"))
     return rounded(B.flatten_recordings(r.select("recording_id", F.col("w.bouts").alias("wells"))).drop("supp"))
 
 
@@ -194,7 +191,7 @@ def _(spark, d):
 
 
 @query("qc_5_heading_unit", f"""WITH {SAMPLES}, q AS (SELECT max(abs(heading)) AS m, quantile_cont(abs(heading),0.99) AS p FROM samples WHERE pos%3=0)
-SELECT round(m,6) AS max_abs, round(p,6) AS p99_abs, CASE WHEN p<=2*pi()+0.25 THEN 'radians' WHEN p<=365 THEN 'degrees' ELSE 'unknown' END AS unit FROM q""")
+SELECT round(m,6) AS max_abs, round(p,6) AS p99_abs, CASE WHEN p<=2*pi()+0.25 THEN 'radians_likely' WHEN p<=365 THEN 'degrees_likely' ELSE 'unknown' END AS unit FROM q""")
 def _(spark, d):
     return rounded(Q.heading_unit(bouts(spark, d), stride=3))
 

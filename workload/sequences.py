@@ -161,5 +161,5 @@ def _(spark, d):
 def _(spark, d):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     s = event_stream(spark, d).select("user_id", t.alias("start"), t.alias("end"))
-    r = ST.run_to_table(ST.online_intervals(s, "user_id"), "append", "intervals")
+    r = ST.online_intervals(s, "user_id")
     return r.select("user_id", F.round("start", 6).alias("start"), F.round("interval", 4).alias("interval"), "late")
