@@ -97,11 +97,11 @@ def _prefixes(told, percent: int):
                     times = np.where(keys[at] == h, count[at], 0)
                 p = prefix_length(len(h), percent)
                 order = np.lexsort((h, times))[:p]
-                parts.append((h[order], np.full(p, c), np.full(p, len(h)), np.arange(p), times[order] > 0))
+                # size and position share one number, as these rows are the bulk of what is shuffled
+                parts.append((h[order], np.full(p, c), len(h) << 32 | np.arange(p), times[order] > 0))
             if parts:
-                h, c, n, i, often = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(n.astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(often)],
-                                                 ["h", "cls", "n", "i", "often"])
+                h, c, at, often = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(at), pa.array(often)], ["h", "cls", "at", "often"])
 
     return run
 
@@ -113,9 +113,9 @@ def _meet(percent: int):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        h, c, n, i = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(4))
+        h, c, at = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
         order = np.lexsort((c, h))
-        h, c, n, i = h[order], c[order], n[order].astype(np.int64), i[order].astype(np.int64)
+        h, c, n, i = h[order], c[order], at[order] >> 32, at[order] & 0xFFFFFFFF
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         h, c, n, i = h[new], c[new], n[new], i[new]
@@ -195,7 +195,10 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pieces = sets.select("cls", F.size("grams").alias("n"), F.posexplode(F.array(*(part(f) for f in range(FRAGMENTS)))).alias("f", "seg"))
     a = pieces.select(F.col("cls").alias("a"), "f", F.col("n").alias("na"), F.col("seg").alias("sa"))
     b = pieces.select(F.col("cls").alias("b"), "f", F.col("n").alias("nb"), F.col("seg").alias("sb"))
-    counted = (pairs.join(a, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
+    # few pairs are broadcast, so that of the sets only those in a pair are dealt out
+    known = small(pairs)
+    b = b.join(small(pairs.select("b").distinct()), "b", "left_semi")
+    counted = (a.join(known, "a").join(b, ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
                .groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o")))
     return counted.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
@@ -250,7 +253,7 @@ def _tile(percent: int):
 def _verify_groups(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     found = components(stars)
     groups = scratch(found.select("node", "root").unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cls"), F.col("root").alias("grp")))
-    member = groups.join(sets, "cls")
+    member = sets.join(small(groups), "cls")
     many = (member.groupBy("grp").agg(F.count("*").alias("m"), F.sum(F.size("grams").cast("long")).alias("s"))
             .select("grp", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("s") / TILE_GRAMS)).cast("int").alias("tiles")))
     dealt = member.join(many, "grp").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
@@ -271,9 +274,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     h, n = often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(h)
     told = spark.sparkContext.broadcast((h[order], n[order]))
-    entries = text.mapInArrow(_prefixes(told, percent), "h long, cls long, n int, i int, often boolean")
+    entries = text.mapInArrow(_prefixes(told, percent), "h long, cls long, at long, often boolean")
     # n-grams known as frequent skip the pairing: their classes go to the stars, whose smallest class is found by partial sums
-    met = entries.where("not often").select("h", "cls", "n", "i").repartition(F.col("h")).mapInArrow(_meet(percent), "a long, b long, kind int")
+    met = entries.where("not often").select("h", "cls", "at").repartition(F.col("h")).mapInArrow(_meet(percent), "a long, b long, kind int")
     frequent = scratch(entries.where("often").select("h", "cls").distinct())
     met = scratch(met.distinct())
     least = frequent.groupBy("h").agg(F.min("cls").alias("b"))
