@@ -67,7 +67,7 @@ def op8_language(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["op8_language"] = op8_language
 
 
-TOXIC_AT = 0.4
+TOXIC_AT = 0.25
 
 
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
