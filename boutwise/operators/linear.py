@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """A list column as an (n, dim) float64 matrix without touching single rows."""
+    """A list column as an (n, dim) float64 matrix without touching single rows. A missing vector or one of another
+    length is an error: cut anew, the values would silently make other vectors."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.null_count or (np.diff(column.offsets.to_numpy()) != dim).any():
+        raise ValueError(f"every vector must have {dim} components")
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 

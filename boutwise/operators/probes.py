@@ -26,7 +26,9 @@ def classification_scores(pred: DataFrame, truth: str = "truth", guess: str = "p
     hit = F.sum(F.when(F.col("_t") == F.col("_g"), F.col("n")).otherwise(0))
     t = ct.groupBy(*by, F.col("_t").alias("_l")).agg(F.sum("n").alias("nt"), hit.alias("tp"))
     g = ct.groupBy(*by, F.col("_g").alias("_l")).agg(F.sum("n").alias("np"))
-    j = t.join(g, [*by, "_l"], "full_outer").fillna(0, ["nt", "np", "tp"])
+    # a label that is missing is a label of its own, so both sides are stacked, not joined
+    both = t.withColumn("np", F.lit(0).cast("long")).unionByName(g.withColumns({"nt": F.lit(0).cast("long"), "tp": F.lit(0).cast("long")}))
+    j = both.groupBy(*by, "_l").agg(F.sum("nt").alias("nt"), F.sum("np").alias("np"), F.sum("tp").alias("tp"))
     tp, nt = F.col("tp"), F.col("nt")
     out = j.groupBy(*by).agg(
         F.sum("nt").alias("n"), (F.sum("tp") / F.sum("nt")).alias("accuracy"), F.avg(F.when(nt > 0, tp / F.nullif(nt, F.lit(0)))).alias("balanced_accuracy"),

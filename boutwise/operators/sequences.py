@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import row_numbers, runs
+from ..functions.ordering import join_nullsafe, row_numbers, runs
 from .effects import chi2_tail
 
 
@@ -22,7 +22,7 @@ def transitions(seq: DataFrame, keys: Sequence[str], label: str, position: str =
     g = runs(seq, keys, position, label, 2).select(F.col("gram")[0].alias("prev"), F.col("gram")[1].alias("next"))
     n = g.groupBy("prev", "next").agg(F.count(F.lit(1)).alias("n"))
     out = n.groupBy("prev").agg(F.sum("n").alias("_all"))
-    return n.join(out, "prev").select("prev", "next", "n", (F.col("n") / F.col("_all")).alias("p"))
+    return join_nullsafe(n, out, ["prev"]).select("prev", "next", "n", (F.col("n") / F.col("_all")).alias("p"))
 
 
 def start_distribution(seq: DataFrame, label: str) -> DataFrame:

@@ -223,3 +223,18 @@ def test_claims_come_from_a_table(spark):
     )
     got = {r["claim"]: r["status"] for r in D.assess(spark.createDataFrame([(0.2,)], "m double"), D.claims_from(rules)).collect()}
     assert got == {"a": "WEAKENED", "b": "NOT_TESTABLE"}
+
+
+def test_ragged_and_missing_vectors_are_errors(spark):
+    for bad in ([[1.0, 2.0], [1.0]], [[1.0, 2.0], None]):
+        df = spark.createDataFrame([(v,) for v in bad], "v array<double>").coalesce(1)
+        with pytest.raises(Exception, match="components"):
+            L.gram(df, "v", 2).collect()
+
+
+def test_missing_labels_count_as_labels(spark):
+    pred = spark.createDataFrame([("a", "a"), (None, "a"), ("a", None), (None, None)], "truth string, pred string")
+    got = P.classification_scores(pred).first()
+    assert got["n"] == 4
+    t = SQ.transitions(spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "a"), (1, 3, "b")], "k long, position long, l string"), ["k"], "l")
+    assert t.agg(F.sum("n")).first()[0] == 3
