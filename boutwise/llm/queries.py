@@ -143,6 +143,16 @@ def op5_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op5_jaccard"] = op5_jaccard
+ORACLES["op5_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, [x for x in regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k+4], ' ') for k in range(1, greatest(len(w) - 3, 2))]) s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id a, b.doc_id b, count(*) o FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
 
 
 def op6_lm(spark: SparkSession, d: str) -> DataFrame:
