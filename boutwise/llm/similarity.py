@@ -33,7 +33,7 @@ from .sqltext import SHINGLE, row_key, scratch, small
 from .textops import mix, shingle_hashes, slices, word_hashes, word_table
 
 PERCENT = 80
-FREQUENT = 200_000
+FREQUENT = 400_000
 FEW = 64
 FRAGMENTS = 4
 TILE = 2_048
@@ -286,8 +286,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     candidates = scratch(pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(stars.select(F.explode(F.array("a", "b")).alias("cls"))).distinct())
     marks = spark.sparkContext.broadcast(bitmap(candidates))
     sets = scratch(text.mapInArrow(_sets(marks), "cls long, grams array<long>").dropDuplicates(["cls"]))
-    links = _verify_pairs(pairs, sets, percent).unionByName(_verify_groups(stars, sets, percent))
-    linked = components(links)
+    # of a family of candidates, a spanning forest is verified first; what then is one component needs no more of its pairs
+    forest_ = scratch(components(pairs).select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = scratch(_verify_pairs(forest_, sets, percent).unionByName(_verify_groups(stars, sets, percent)))
+    so_far = scratch(components(links))
+    side = lambda c: so_far.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = (pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").join(forest_.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
+    apart = scratch(apart)
+    linked = components(links.unionByName(_verify_pairs(apart, sets, percent))) if not apart.isEmpty() else so_far
     # classes of one document without links are their own component
     own = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = own.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
