@@ -3,7 +3,9 @@
 The values that the patterns find are labelled credentials. For each kind a prefix tree of their character classes is built, and states whose outgoing
 and ending frequencies agree within Hoeffding's bound are merged (red-blue order), which leaves a probabilistic automaton of the format. Every
 candidate, a run of 16 or more token characters with a letter and a digit, is scored by its bits per character under the background less
-those under the automaton; those above the threshold become spans of kind `grammar`. Base spans always stay.
+those under the automaton; those above the threshold become spans of kind `grammar`. Base spans always stay. The unlabelled candidates are a mixture: the
+background is learned from them by expectation-maximisation, each with its probability of being no credential. The threshold is half the gain that labelled
+credentials have which their automaton has not seen, and `least_gain` at least, whatever the number of candidates.
 
 Defined results: null and empty texts have no findings; positions are code points, end exclusive; repeated rows are scanned each; without labelled values
 there is no automaton and nothing is added; an empty table gives an empty result; other columns pass through `scan` unchanged; the name of
@@ -28,6 +30,10 @@ FIT_VALUES = 1_000
 FIT_LENGTH = 256
 ALPHA = 0.05
 LEAST_GAIN = 0.5  # bits per character
+HELD = 5  # every fifth labelled value sets the threshold
+PRIOR = 256  # characters' worth of the uniform background, so that it cannot learn single values by heart
+ROUNDS = 20  # of the background's expectation-maximisation
+TOKEN_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 
 # fixed values: the base patterns
 _KEY = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -162,18 +168,50 @@ class Model:
 
     def __init__(self, positives: dict[str, list[str]], negatives: list[str], alpha: float = ALPHA, least_gain: float = LEAST_GAIN):
         self.automata = {k: Automaton(v, alpha) for k, v in sorted(positives.items()) if v}
-        # two thirds of the weight goes to what the text's own runs look like, one third to any token character
-        n: dict[str, int] = {}
-        for v in negatives:
+        # unlabelled candidates may be credentials: each counts for the background with its probability of not being one
+        cost = [min(a.bits(v) for a in self.automata.values()) for v in negatives] if self.automata else []
+        # from two starts, no candidate a credential and all of them, as either can be a local optimum; the likelier end is kept
+        ends = [self._mixture(negatives, cost, start) for start in ((1.0, 0.0) if cost else (1.0,))]
+        self._learn(negatives, max(ends, key=lambda e: e[0])[1])
+        self.least = least_gain
+        bars = []
+        for v in positives.values():
+            held, rest = v[::HELD], [x for i, x in enumerate(v) if i % HELD]
+            if rest:
+                a = Automaton(rest, alpha)
+                gains = sorted((sum(self.background[c] for c in x) - a.bits(x)) / len(x) for x in held)
+                bars.append(gains[int(0.05 * (len(gains) - 1))])
+        if bars:
+            self.least = max(least_gain, min(bars) / 2)
+
+    def _mixture(self, values: list[str], cost: list[float], start: float) -> tuple[float, list[float]]:
+        """(log2 likelihood, each value's probability of being no credential); cost: the values' bits under the automata."""
+        share, total = [start] * len(values), 0.0
+        for _ in range(ROUNDS if cost else 0):
+            self._learn(values, share)
+            plain = (sum(share) + 1) / (len(share) + 2)
+            total, fresh = 0.0, []
+            for v, c in zip(values, cost, strict=True):
+                x, y = math.log2(plain) - sum(self.background[k] for k in v), math.log2(1 - plain) - c
+                high = max(x, y)
+                both = high + math.log2(2.0 ** max(-500.0, x - high) + 2.0 ** max(-500.0, y - high))
+                total += both
+                fresh.append(2.0 ** max(-500.0, x - both))
+            settled = max(abs(x - y) for x, y in zip(fresh, share, strict=True)) < 1e-3
+            share = fresh
+            if settled:
+                break
+        return total, share
+
+    def _learn(self, values: list[str], share: list[float]) -> None:
+        """At most two thirds of the weight goes to what the text's own runs look like, the rest to any token character."""
+        n = dict.fromkeys(TOKEN_CHARS, 0.0)
+        for v, w in zip(values, share, strict=True):
             for c in v:
-                n[c] = n.get(c, 0) + 1
+                n[c] += w
         total = sum(n.values())
-        self.background = {c: -math.log2((n.get(c, 0) / total * 2 / 3 if total else 0) + (1 / 3 if total else 1) / 67)
-                           for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"}
-        self.least = least_gain
-        if self.automata and negatives:
-            gains = sorted(self.gain(v) for v in negatives)
-            self.least = max(least_gain, gains[min(len(gains) - 1, int(len(gains) * 0.999))] + 0.05)
+        own = total / (total + PRIOR) * 2 / 3
+        self.background = {c: -math.log2((n[c] / total * own if total > 0 else 0.0) + (1 - own) / len(TOKEN_CHARS)) for c in TOKEN_CHARS}
 
     def gain(self, value: str) -> float:
         if not self.automata:

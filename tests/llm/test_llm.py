@@ -91,6 +91,20 @@ def test_automaton_prefers_its_format():
     assert a.bits("a1") < a.bits("1a") and a.bits("a1a1") < a.bits("aa11")
 
 
+def test_secrets_finds_unlabelled_credentials_of_its_own_table(spark):
+    g = np.random.default_rng(4)
+    hexes = lambda n, k: ["".join(g.choice(list("0123456789abcdef"), n - 2)) + "a1" for _ in range(k)]
+    bare = hexes(28, 20)
+    for plain in (200, 5):
+        rows = [f'my token = "{v}" here' for v in hexes(28, 40)] + [f"see {v} here" for v in bare] + [f"write to mail{i}.example.com/index_{i % 7}.html now" for i in range(plain)]
+        d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        got = {(r["text"][f["start"]:f["end"]]) for r in secrets.scan(d, secrets.fit(d)).collect() for f in r["findings"] if f["kind"] == "grammar"}
+        assert got == set(bare)
+    # however large the sample of unlabelled candidates is, the threshold stands
+    few, many = (secrets.Model({"assign": hexes(28, 50)}, hexes(28, k)) for k in (3, 1000))
+    assert all(m.gain(v) > m.least for m in (few, many) for v in bare)
+
+
 # ---- licenses and benchmark
 
 def test_licenses_against_containment(spark, none):
