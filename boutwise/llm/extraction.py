@@ -2,8 +2,10 @@
 
 Each page is read once into text leaves with their root-to-leaf tag path. Per path the text length and the punctuation count are averaged over its leaves; both
 ratios are smoothed over neighbouring leaves in page order, fused by their product, and paths at or above a share of the page's standard deviation hold content.
-The content region is the deepest element that holds nearly all text of those paths; its text is the article, less what is marked as
-menu, header, footer, sidebar, notice, advert, form, script, style or reader comment by its element or by a word of its class, id or role.
+All blocks of those paths are kept, and with them the rest of the content region: the <article> and <main> elements if they hold nearly all text of those
+paths together, else the deepest element that does. Left out is what is marked as menu, header, footer, sidebar, notice, advert, form, script, style or reader
+comment by its element, or by a word of its class, id or role unless the element so marked holds nearly all text of those paths itself and no unmarked
+<article> or <main> has text.
 
 Defined results: a null, empty or textless page gives an empty text; white space (any Unicode blank, line breaks of markup included) inside a block is one space;
 blocks are joined by an empty line in page order; unclosed, crossed and cut-off markup is closed as a browser would; a `<` that begins no tag is text; repeated rows are
@@ -63,36 +65,39 @@ KERNEL /= KERNEL.sum()
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "path", "depth", "mass", "inside", "kept")
+    """drop: 0, or 1 in an element that a word marks, or 2 in one that its tag marks or that is hidden; marks: whether a word marks this element itself."""
+
+    __slots__ = ("tag", "parent", "drop", "path", "depth", "mass", "inside", "kept", "marks")
 
     def __init__(self, tag, parent, drop, path):
-        self.tag, self.parent, self.drop, self.path = tag, parent, drop, path
+        self.tag, self.parent, self.path = tag, parent, path
+        self.drop, self.marks = max(drop, parent.drop if parent else 0), drop == 1
         self.depth = parent.depth + 1 if parent else 0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.mass, self.kept = 0.0, False
 
 
-def _dropped(tag: str, attrs: str, parent: Node) -> bool:
+def _dropped(tag: str, attrs: str, parent: Node) -> int:
     inside = parent.inside or parent.tag in ("article", "main")
-    if parent.drop or tag in DROP_TAGS or tag == "header" and not inside:
-        return True
+    if parent.drop == 2 or tag in DROP_TAGS or tag == "header" and not inside:
+        return 2
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return 0
     if HIDDEN.search(attrs):
-        return True
+        return 2
     for m in ATTR.finditer(attrs):
         raw = m[2] or m[3] or m[4] or ""
         words = set(_SPLIT.split(_CAMEL.sub("-", raw).lower()))
         if words & DROP_WORDS or not inside and words & HEADER_WORDS:
-            return True
-    return False
+            return 1
+    return 0
 
 
 class Reader:
     """Open elements while a page is read. nodes: all elements, parents first; leaves: (decoded text, element, block number) in page order."""
 
     def __init__(self, page: str):
-        self.root = self.here = Node("", None, False, 0)
+        self.root = self.here = Node("", None, 0, 0)
         self.nodes = [self.root]
         self.leaves: list[tuple[str, Node, int]] = []
         self.block = 0
@@ -177,23 +182,39 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     read = Reader(page)
+    _clear_marks([x for x in read.leaves if x[1].drop < 2 and x[0].strip()], read.nodes)
     found = [x for x in read.leaves if not x[1].drop]
     words = [x for x in found if x[0].strip()]
     if not words:
         return ""
-    _region(words, read.nodes).kept = True
+    chosen = _weigh(words, read.nodes)
+    whole = {block for (_, _, block), c in zip(words, chosen.tolist(), strict=True) if c}
+    for node in _regions(read.nodes):
+        node.kept = True
     for node in read.nodes[1:]:
         node.kept |= node.parent.kept
     blocks: dict[int, list[str]] = {}
     for t, node, block in found:
-        if node.kept:
+        if node.kept or block in whole:
             blocks.setdefault(block, []).append(t)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)
 
 
-def _region(found: list[tuple[str, Node, int]], nodes: list[Node]) -> Node:
-    """The deepest element that holds SHARE of the text of the paths selected by their ratios."""
+def _clear_marks(words: list[tuple[str, Node, int]], nodes: list[Node]) -> None:
+    """A word's mark does not count on an element that holds SHARE of the mass, as there the path scores disagree with it, unless an unmarked <article> or
+    <main> has text."""
+    if not any(node.drop for _, node, _ in words) or any(not node.drop and (node.inside or node.tag in ("article", "main")) for _, node, _ in words):
+        return
+    _weigh(words, nodes)
+    for node in nodes[1:]:
+        node.marks &= node.mass < SHARE * nodes[0].mass
+        if node.drop == 1:
+            node.drop = 1 if node.marks else node.parent.drop
+
+
+def _weigh(found: list[tuple[str, Node, int]], nodes: list[Node]) -> np.ndarray:
+    """Whether the path of each leaf is selected by its ratios; sets each element's mass, the weighted text of those paths in it."""
     length = np.array([len(t.strip()) for t, _, _ in found], float)
     marks = np.array([len(_PUNCT.findall(t)) for t, _, _ in found], float)
     at = np.unique([node.path for _, node, _ in found], return_inverse=True)[1]
@@ -207,16 +228,31 @@ def _region(found: list[tuple[str, Node, int]], nodes: list[Node]) -> Node:
     chosen = per_path[at] >= LAMBDA * fused.std()
     if not chosen.any():
         chosen[:] = True
+    for node in nodes:
+        node.mass = 0.0
     for w, (_, node, _) in zip(np.where(chosen, length * per_path[at], 0.0).tolist(), found, strict=True):
         node.mass += w
     for node in reversed(nodes[1:]):
         node.parent.mass += node.mass
-    marked = [p for p in nodes if p.tag in ("article", "main") and p.mass > 0]
-    if marked:
-        # the page itself says where its article is; of several, the one with most content, and the inner one if both hold it
-        return max(marked, key=lambda p: (p.mass, p.depth))
+    return chosen
+
+
+def _regions(nodes: list[Node]) -> list[Node]:
+    """The elements that hold SHARE of the mass: all <article> and <main> if they do, each without an outer one that adds nothing; else the deepest element."""
+    own = {p: p.mass for p in nodes if p.tag in ("article", "main") and p.mass > 0}
+    total = 0.0
+    for p in own:
+        q = p.parent
+        while q is not None and q not in own:
+            q = q.parent
+        if q is None:
+            total += p.mass
+        else:
+            own[q] -= p.mass
+    if own and total >= SHARE * nodes[0].mass:
+        return [p for p, m in own.items() if m > 1e-9 * p.mass]
     full = [p for p in nodes if p.mass >= SHARE * nodes[0].mass and p.tag not in INLINE and p.tag not in LEAF]
-    return max(full, key=lambda p: p.depth)
+    return [max(full, key=lambda p: p.depth)]
 
 
 def _extract(at: int, name: str):

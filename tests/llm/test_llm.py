@@ -169,6 +169,20 @@ def test_extraction_of_an_unlabelled_layout(spark):
     assert extraction.extract(d.where("false")).count() == 0
 
 
+def test_extraction_keeps_all_content_paths():
+    long = "A sentence of the main text, which is long enough, stands here. " * 6
+    main = long.strip()
+    # a teaser article beside the text, several articles, a part in a sibling container, a class word on the whole text
+    assert main in extraction.main_text(f"<body><div><p>{long}</p><p>{long}</p></div><article><p>A teaser, beside it, with marks: short, but not too short, and with more, and more.</p></article></body>")
+    parts = [f"{i} {main}" for i in range(3)]
+    assert extraction.main_text("<body>" + "".join(f"<article><p>{p}</p></article>" for p in parts) + "</body>") == "\n\n".join(parts)
+    lead = "The lead of it, in a container of its own, goes here: yes, it does."
+    assert extraction.main_text(f"<body><div><p>{lead}</p></div><section><p>{long}</p><p>{long}</p></section></body>") == "\n\n".join([lead, main, main])
+    assert extraction.main_text(f"<body><div class='related-story'><p>{long}</p></div><div class=ad>buy</div></body>") == main
+    assert extraction.main_text(f"<body><article><p>Short.</p></article><div class=ad><p>{long}</p></div></body>") == "Short."
+    assert extraction.main_text(f"<main><article><p>{long}</p></article><div class=comments><p>Good, so good.</p></div></main>") == main
+
+
 # ---- similarity
 
 def brute_components(rows):
