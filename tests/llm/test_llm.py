@@ -281,6 +281,14 @@ def test_lm_base_score(spark, docs, none):
     assert lm.score(none, none, e, ["doc_id"]).count() == 0
 
 
+def test_lm_score_does_not_depend_on_the_broadcast_words(docs):
+    d = docs.select("doc_id", "text", lm.held_out("doc_id").alias("held_out"))
+    train = d.where("not held_out")
+    model = lm.fit(train, RANKS, steps=5)
+    one, two = (sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score(d, train, model, ["doc_id"], frequent=n).collect()) for n in (1_000_000, 20))
+    assert [x[:2] for x in one] == [x[:2] for x in two] and np.allclose([x[2] for x in one], [x[2] for x in two], rtol=1e-9)
+
+
 def test_lm_windows_score_each_target_once():
     size = np.array([0, 5, 16, 40])
     symbols = np.arange(61) % 7
