@@ -9,9 +9,9 @@ under equal priors.
 Defined results: `und` with score 0 for null, empty or letterless texts, or if nothing could be learned; repeated rows are scored each; ties go to the
 alphabetically first language; extra columns are left out; an empty table gives an empty result.
 
-Scale: one pass without a shuffle for the scores. The fit reads at most about `fit_documents` documents of each of the `most_languages` most frequent
-languages, taken by hash, and keeps at most `most_ngrams` byte sequences (documented bounds of a classifier's sample and size); the
-broadcast tables are bounded by `most_contexts` contexts and MOST_CELLS costs an order.
+Scale: one pass without a shuffle for the scores. Every language is learned, from at most about `fit_documents` documents of it, taken by hash, and at most
+`most_ngrams` of its byte sequences (documented bounds of a classifier's sample and size). Languages are fitted in groups of `group` over one alphabet, so their
+code lengths compare; a group's broadcast tables are bounded by `most_contexts` contexts and MOST_CELLS costs an order, and grow with the number of groups.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textops import slices
 
 FIT_DOCUMENTS = 2_000
-MOST_LANGUAGES = 64
-MOST_NGRAMS = 400_000
+GROUP = 16  # languages whose tables are made together
+MOST_NGRAMS = 400_000  # of a language
 MOST_CONTEXTS = 16_000
-MOST_CELLS = 24_000_000  # of the table of one order, over all languages and symbols
+MOST_CELLS = 24_000_000  # of the table of one order, over all languages of a group and symbols
 LEAST = 4
 UNKNOWN = "und"
 
@@ -69,19 +69,22 @@ def _count(languages: list[str]):
 class Model:
     """Frozen cost tables. cost[node * width + symbol] has the bits of that symbol per language; node[c3, c2, c1] is the longest kept context."""
 
-    def __init__(self, languages: list[str], code: np.ndarray, n: np.ndarray, least: int = LEAST, most_contexts: int = MOST_CONTEXTS):
+    def __init__(self, languages: list[str], code: np.ndarray, n: np.ndarray, least: int = LEAST, most_contexts: int = MOST_CONTEXTS,
+                 seen: np.ndarray | None = None):
         self.languages = languages
+        self.others: list[Model] = []  # of the next groups of languages
         if not languages or len(code) == 0:
             self.languages = []
             return
         lang = (code >> 32).astype(np.int64)
         part = [(code >> (8 * j) & 255).astype(np.int64) for j in range(4)]
-        seen = np.unique(part[0])
+        seen = np.unique(part[0]) if seen is None else seen
         self.symbol = np.zeros(256, np.int64)  # 0: before the start, or a byte never seen
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         w = self.width = len(seen) + 1
         s = [self.symbol[x] if j == 0 else np.where(x == 0, 0, self.symbol[x]) for j, x in enumerate(part)]
         many = len(languages)
+        share = n / np.maximum(np.bincount(lang, n, many), 1)[lang]  # a language counts the same whatever its rows
         most_contexts = min(most_contexts, MOST_CELLS // (w * many))
         low = np.full((many, 1, w), 1 / w, np.float32)
         # orders 0..3: contexts of that order, kept if frequent in all languages together
@@ -93,7 +96,8 @@ class Model:
             total = np.bincount(context, n, w ** order)
             keep = np.flatnonzero(total >= (least if order else 0))
             if len(keep) > most_contexts:
-                keep = np.sort(keep[np.argsort(-total[keep], kind="stable")[:most_contexts]])
+                weight = np.bincount(context, share, w ** order)
+                keep = np.sort(keep[np.argsort(-weight[keep], kind="stable")[:most_contexts]])
             # the suffix of a context drops its oldest symbol, the most significant digit
             suffix = np.arange(w ** order) % max(1, w ** (order - 1)) if order else np.zeros(1, np.int64)
             up = node[suffix]
@@ -114,7 +118,12 @@ class Model:
         self.cost = np.ascontiguousarray(-np.log2(low).transpose(1, 2, 0).reshape(-1, many), np.float32)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Code length in bits of each text under each language."""
+        """Code length in bits of each text under each language of all groups."""
+        if self.others:
+            return np.hstack([m._lengths(data, offsets) for m in (self, *self.others)])
+        return self._lengths(data, offsets)
+
+    def _lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         s = self.symbol[data].astype(np.int32)
         n, w = len(s), self.width
         context = np.zeros(n, np.int32)
@@ -150,21 +159,35 @@ def remainder(id_col: str, by: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_documents: int = FIT_DOCUMENTS, most_languages: int = MOST_LANGUAGES,
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_documents: int = FIT_DOCUMENTS, group: int = GROUP,
         most_ngrams: int = MOST_NGRAMS, most_contexts: int = MOST_CONTEXTS, least: int = LEAST) -> Model:
     """Context trees from labelled rows; rows without text or language teach nothing."""
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.empty(0), np.empty(0))
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, fit_documents / r["count"]) * (1 << 20))).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share)
-    got = (some.mapInArrow(_count(languages), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "code").limit(most_ngrams).toPandas())
-    return Model(languages, got["code"].to_numpy(np.int64), got["n"].to_numpy(np.float64), least, most_contexts)
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, fit_documents / r["count"]) * (1 << 20)))])
+    some = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < shares[F.col("lang")])
+    which = F.shiftright("code", 32)
+    got = some.mapInArrow(_count(languages), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    best = F.row_number().over(Window.partitionBy(which).orderBy(F.desc("n"), "code"))
+    got = got.withColumn("__rank", best).where(F.col("__rank") <= most_ngrams).drop("__rank").persist()
+    try:
+        seen = np.array(sorted(r[0] for r in got.select(F.col("code").bitwiseAND(F.lit(255))).distinct().collect()), np.int64)
+        models = []
+        for lo in range(0, len(languages), group):
+            names = languages[lo:lo + group]
+            part = got.where((which >= lo) & (which < lo + group)).toPandas()
+            code = part["code"].to_numpy(np.int64) - (lo << 32)
+            if len(code):
+                models.append(Model(names, code, part["n"].to_numpy(np.float64), least, most_contexts, seen))
+    finally:
+        got.unpersist()
+    if not models:
+        return Model([], np.empty(0), np.empty(0))
+    models[0].others = models[1:]
+    return models[0]
 
 
 def _letters(column: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,9 +203,9 @@ def _letters(column: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        names = np.array([*m.languages, UNKNOWN], object)
+        names = np.array([*m.languages, *(v for x in m.others for v in x.languages), UNKNOWN], object)
         for batch in batches:
-            pred, score = np.full(batch.num_rows, len(m.languages)), np.zeros(batch.num_rows)
+            pred, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             for first, data, offsets in slices(batch.column(batch.num_columns - 1)):
                 if not m.languages or len(data) == 0:
                     continue
@@ -191,7 +214,7 @@ def _score(model):
                 p = 1 / np.exp2(np.clip(bits.min(1, keepdims=True) - bits, -1000, 0)).sum(1)
                 ok = _letters(batch.column(batch.num_columns - 1), first, data, offsets)
                 at = slice(first, first + len(best))
-                pred[at], score[at] = np.where(ok, best, len(m.languages)), np.where(ok, p, 0.0)
+                pred[at], score[at] = np.where(ok, best, len(names) - 1), np.where(ok, p, 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[pred], pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run

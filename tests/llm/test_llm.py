@@ -329,6 +329,16 @@ def test_language_on_held_out_rows(spark, docs, none):
     assert language.identify(none, language.fit(none), ["doc_id"]).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = [a + b for a in letters[:9] for b in letters[:9]][:70]
+    rows = [(i, f"{k[0]}{k[1]}{letters[-1 - i % 5]}{k[1]} " * 12, k) for k in kinds for i in range(9 if k == "aa" else 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    m = language.fit(d)
+    told = language.identify(d, m, ["doc_id", "lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in told) == len(rows) and {r["lang_pred"] for r in told} == set(kinds)
+
+
 def test_toxicity_on_rows_it_has_not_seen(spark, docs, none):
     d = "/root/testdata/sf0.1"
     texts, labels = queries.table(spark, d, "documents"), queries.table(spark, d, "labels")
