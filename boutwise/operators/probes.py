@@ -115,9 +115,11 @@ def holdout_probe(rows: DataFrame, key: str, label: str, features: Sequence[str]
     return classification_scores(pred)
 
 
-def recoverability(rows: DataFrame, key: str, features: Sequence[str], label: str, max_rows: int, seed: int, **kw) -> DataFrame:
-    """How well one representation's features give the other's labels, on a fixed subsample."""
-    return holdout_probe(subsample(rows, key, max_rows, seed), key, label, features, seed, **kw)
+def recoverability(rows: DataFrame, key: str, features: Sequence[str], label: str, max_rows: int, seed: int, min_rows: int = 4, **kw) -> DataFrame:
+    """How well one representation's features give the other's labels: at most max_rows rows train, all held-out rows are scored."""
+    cut = class_holdout(rows, key, label, seed, min_rows=min_rows)
+    train = subsample(cut.where(~F.col("held_out")), key, max_rows, seed)
+    return classification_scores(logistic_probe(train, cut.where("held_out"), features, label, **kw))
 
 
 # ---- ridge -------------------------------------------------------------------------------------

@@ -238,3 +238,11 @@ def test_missing_labels_count_as_labels(spark):
     assert got["n"] == 4
     t = SQ.transitions(spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "a"), (1, 3, "b")], "k long, position long, l string"), ["k"], "l")
     assert t.agg(F.sum("n")).first()[0] == 3
+
+
+def test_recoverability_scores_all_held_out_rows(spark):
+    from boutwise.operators import probes
+
+    d = spark.createDataFrame([(i, float(i % 2) + i / 1000, "ab"[i % 2]) for i in range(40)], "id long, x double, label string")
+    r = probes.recoverability(d, "id", ["x"], "label", 10, 3, max_iter=5).first()
+    assert r["n"] == 8

@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("clu_8_fit_stability", None)
 def _(spark, d):
-    return rounded(SEL.fit_stability(train_rows(spark, d), "vec_id", "embedding", "kmeans", 3, 20260822, 2, 50000))
+    return rounded(SEL.fit_stability(train_rows(spark, d), "vec_id", "embedding", "kmeans", 3, 20260822, 2, None))
 
 
 @query("clu_9_seed_stability", f"WITH {PAIRG} SELECT round(avg(ari),6) AS ari_mean, round(stddev_pop(ari),6) AS ari_std FROM meas")
