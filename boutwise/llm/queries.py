@@ -139,7 +139,7 @@ ORACLES["op3_licenses"] = _license_sql()
 def op5_jaccard(spark: SparkSession, d: str) -> DataFrame:
     from . import similarity
 
-    return similarity.join(table(spark, d, "documents")).drop("row_key")
+    return similarity.join(table(spark, d, "documents")).drop("row_key", "class_key")
 
 
 QUERIES["op5_jaccard"] = op5_jaccard

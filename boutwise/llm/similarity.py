@@ -263,7 +263,7 @@ def _verify_groups(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and row_key, which names it by id and text."""
+    """doc_id, n_shingles, component_id of every row, row_key, which names it by id and text, and class_key, which names its group (null without words)."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.withColumn("rkey", row_key(F.col("doc_id"), F.col("text")))
@@ -299,6 +299,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     own = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     named = own.join(linked.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("total"))
-    names = scratch(named.join(least.where("total > 1"), "root").select("cls", "component_id"))
+    names = scratch(named.join(least.where("total > 1"), "root").select("cls", "component_id", "root"))
     return (rows.join(small(names), "cls", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rkey").alias("row_key")))
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("rkey").alias("row_key"), F.coalesce("root", "cls").alias("class_key")))

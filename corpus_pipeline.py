@@ -4,9 +4,9 @@
 2. jaccard: of each group of near duplicates the row with the smallest id stays (of equal ids, one).
 3. decontamination: documents that hold a benchmark item go.
 4. secrets: found credentials are replaced by a mark in the text, and n_chars is counted anew; all documents stay.
-5. packing: pieces of at most 1024 tokens with their sequence and offset.
+5. packing: pieces of at most 1024 tokens with their ids, sequence and offset.
 
-Rows without an id pass every stage as others do, but none of them goes in stage 2 except for a row of the same text without id.
+Rows without an id pass every stage as others do; in stage 2 one of them stays only if no row of its group has an id.
 """
 
 from __future__ import annotations
@@ -34,11 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are their group's first; texts without words are no one's duplicates and stay."""
-    found = similarity.join(docs)
-    # rows that go: another row of the group has a smaller id
-    gone = scratch(found.where("component_id < doc_id and n_shingles > 0").select(F.col("row_key").alias("__key")).distinct())
+    found = similarity.join(docs).where("n_shingles > 0")
+    # rows that go: another row of the group is first by (id, nulls last, row_key)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))["row_key"]
+    least = scratch(found.groupBy("class_key").agg(F.count("*").alias("__n"), first.alias("__first")).where("__n > 1").drop("__n"))
+    gone = scratch(found.join(small(least), "class_key").where("row_key <> __first").select(F.col("row_key").alias("__key")).distinct())
     # and rows with both id and text in common are copies of each other
-    again = scratch(found.where("n_shingles > 0").groupBy(F.col("row_key").alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key"))
+    again = scratch(found.groupBy(F.col("row_key").alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key"))
     kept = docs.withColumn("__key", row_key(F.col("doc_id").cast("long"), F.col("text"))).join(small(gone), "__key", "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
@@ -58,7 +60,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut_documents(docs, tokenizer_path()))
+    return packing.pack(packing.cut_documents(docs, tokenizer_path(), keep_ids=True))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -395,3 +395,15 @@ def test_pipeline_stages(spark, docs, tmp_path):
             t = d.where(f"doc_id = {10**6 + 10}").first()
             assert "[SECRET]" in t["text"] and t["n_chars"] == len(t["text"])
     assert d.count() >= before.count()
+
+
+def test_pipeline_keeps_one_row_of_a_group_and_token_ids(spark):
+    import corpus_pipeline as C
+
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base.replace("word7 ", "other ")
+    rows = [(5, base), (5, near), (5, near), (None, base), (None, near), (7, None), (8, ""), (None, "one two"), (None, "ONE two")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = C.drop_near_duplicates(spark, d, "")
+    assert Counter(r["doc_id"] for r in left.collect()) == {5: 1, 7: 1, 8: 1, None: 1}
+    assert all(r["ids"] for r in C.pack(spark, left, "").collect())
