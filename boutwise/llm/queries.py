@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with SQL where it can say the same."""
+"""The registered queries of the operators, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -167,3 +167,31 @@ def op6_lm(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["op6_lm"] = op6_lm
+
+
+def op11_sharding(spark: SparkSession, d: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.assign(table(spark, d, "documents"))
+
+
+QUERIES["op11_sharding"] = op11_sharding
+# 64-bit arithmetic is done in 128 bits and cut; the checksum runs over the bytes with a table of the reflected polynomial
+ORACLES["op11_sharding"] = r"""
+WITH RECURSIVE bits(b, k, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8),
+raw AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+rows_ AS (SELECT doc_id, size::BIGINT AS size, CASE WHEN h = '' THEN 0 ELSE xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) END AS text_crc32 FROM raw, tab),
+ids AS (SELECT DISTINCT coalesce(doc_id, -1) AS id FROM documents),
+m1 AS (SELECT id, ((id::HUGEINT + 18446744073709551616) % 18446744073709551616)::UHUGEINT AS x FROM ids),
+m2 AS (SELECT id, (xor(x, x >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM m1),
+m3 AS (SELECT id, (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS x FROM m2),
+k AS (SELECT id, xor(x, x >> 31) AS key FROM m3),
+walk(id, state, b, j) AS (SELECT id, key, -1::BIGINT, 0::BIGINT FROM k UNION ALL
+  SELECT id, s, j, trunc((j + 1) * (2147483648::DOUBLE / ((s >> 33)::DOUBLE + 1)))::BIGINT
+  FROM (SELECT id, j, (state * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS s FROM walk WHERE j < 17)),
+placed AS (SELECT id, max(b) FILTER (b < 16)::INT AS shard, max(b)::INT AS grown_shard FROM walk GROUP BY id)
+SELECT r.doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY key, r.doc_id NULLS LAST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
+FROM rows_ r JOIN k ON k.id = coalesce(r.doc_id, -1) JOIN placed p ON p.id = k.id
+"""
