@@ -195,3 +195,23 @@ placed AS (SELECT id, max(b) FILTER (b < 16)::INT AS shard, max(b)::INT AS grown
 SELECT r.doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY key, r.doc_id NULLS LAST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard
 FROM rows_ r JOIN k ON k.id = coalesce(r.doc_id, -1) JOIN placed p ON p.id = k.id
 """
+
+
+def op12_ranking(spark: SparkSession, d: str) -> DataFrame:
+    from . import ranking
+
+    return ranking.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES["op12_ranking"] = op12_ranking
+ORACLES["op12_ranking"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM t WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+h AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM h, g GROUP BY term),
+m AS (SELECT r, doc_id, 50 + (50 * len(w) * docs) // total AS m FROM t, g),
+s AS (SELECT item_id, r, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM h JOIN i USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+FROM s JOIN t USING (r) WHERE score > 0) WHERE rank <= 50
+"""
