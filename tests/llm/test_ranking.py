@@ -74,7 +74,8 @@ def test_empty_tables(docs, none, items):
 def test_ties_across_partitions(spark, items):
     """Thousands of equal documents in many tasks: the smallest ids stay."""
     same = spark.range(3000, numPartitions=9).select((3000 - F.col("id")).alias("doc_id"), F.lit("word3 and more").alias("text"))
-    got = [r["doc_id"] for r in ranking.search(same.union(spark.createDataFrame([(9000, "other text")], same.schema)), items.where("item_id = 7"), 5).orderBy("rank").collect()]
+    other = spark.range(9000, 9100).select("id", F.lit("other text"))
+    got = [r["doc_id"] for r in ranking.search(same.union(other), items.where("item_id = 7"), 5).orderBy("rank").collect()]
     assert got == [1, 2, 3, 4, 5]
 
 
