@@ -215,3 +215,14 @@ s AS (SELECT item_id, r, sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * m))):
 SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
 FROM s JOIN t USING (r) WHERE score > 0) WHERE rank <= 50
 """
+
+
+def op13_alignment(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import alignment
+
+    return alignment.align(table(spark, d, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op13_alignment"] = op13_alignment
