@@ -23,8 +23,9 @@ import base64
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ from pyspark.sql import functions as F
 from .perfecthash import CountTable, PerfectHash
 from .sqltext import scratch
 
-UNITS = 200_000
+UNITS = 400_000
 PENDING = 1 << 20  # stretches of documents that wait for the new ones among them to be encoded
 PAIRS = 2_000_000
 PARTIAL_ROWS = 500_000  # rows summed into one dense vector
 CHUNK = 1 << 14  # numbers of a dense vector in one row
 LONG = 2000
+TOGETHER = 128  # stretches encoded in one call
 B_BITS = 24  # a pair is A id << B_BITS | B id
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -110,6 +112,8 @@ class Aligner:
             # plain units follow each other as in one text
             if self.ranks is not None and self.cuts and len(u) < LONG and len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and self.latin(u):
                 run.append(u)
+                if len(run) == TOGETHER:
+                    end()
             else:
                 end()
                 a.append(self.a.encode(u, add_special_tokens=False).ids)
@@ -132,7 +136,7 @@ class Aligner:
         i, j = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
         stop = np.searchsorted(both, ends, "right")
         start = np.concatenate(([0], stop[:-1]))
-        count = lambda x: np.diff(np.concatenate(([0], np.searchsorted(x, ends, "right"))))
+        tokens = lambda x: np.diff(np.concatenate(([0], np.searchsorted(x, ends, "right"))))
         text = []
         if names:
             an, bn = [self.a_name[x] for x in a.tolist()], [self.b_name[x] for x in b.tolist()]
@@ -141,7 +145,7 @@ class Aligner:
                 groups.append((an[p] if x - p == 1 else ",".join(an[p:x])) + "|" + (bn[q] if y - q == 1 else ",".join(bn[q:y])))
                 p, q = x, y
             text = [";".join(groups[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
-        return Units(count(a_end), count(b_end), np.diff(np.concatenate(([0], stop))), (a[i] << B_BITS) | b[j], np.zeros(len(units), bool), text)
+        return Units(tokens(a_end), tokens(b_end), np.diff(np.concatenate(([0], stop))), (a[i] << B_BITS) | b[j], np.zeros(len(units), bool), text)
 
     def _one_by_one(self, units: list[str], names: bool) -> Units:
         """Units among which one's tokens give other bytes; that one is marked."""
@@ -171,7 +175,7 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 def _windows(batches: Iterator[pa.RecordBatch], at: int, tool: Aligner, names: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[Units], bool]]:
     """(waiting batches' rows, stretch numbers of all waiting texts, number per text, aligned stretches so far, whether the numbers begin anew afterwards).
     The aligned stretches grow from yield to yield until they begin anew; a text without tokens has no stretches."""
-    known: dict[str, int] = {}
+    known: dict[str, int] = defaultdict(count().__next__)
     done: list[Units] = []
     aligned = waiting = 0
     rows, numbers, per = [], [], []
@@ -189,7 +193,7 @@ def _windows(batches: Iterator[pa.RecordBatch], at: int, tool: Aligner, names: b
         for r, text in enumerate(batch.column(at)):
             text = text.as_py()
             cut = tool.stretches(text) if text and "▁" not in text else []
-            numbers.append(np.fromiter((known.setdefault(u, len(known)) for u in cut), np.int64, len(cut)))
+            numbers.append(np.fromiter(map(known.__getitem__, cut), np.int64, len(cut)))
             rows.append((batch, r))
             per.append(len(cut))
             waiting += len(cut)
@@ -198,7 +202,7 @@ def _windows(batches: Iterator[pa.RecordBatch], at: int, tool: Aligner, names: b
                 yield got
                 rows, numbers, per, waiting = [], [], [], 0
                 if got[-1]:
-                    known, done, aligned = {}, [], 0
+                    known, done, aligned = defaultdict(count().__next__), [], 0
     if rows:
         yield (*settle()[:-1], True)
 
