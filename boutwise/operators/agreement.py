@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import clip01, pairs, plogp
 from ..functions.ordering import join_nullsafe, quantiles
+from .assignment import best_assignment
 from .clustering import cluster_counts
 from .tiles import reduce_tiles, tile_count
 
@@ -270,34 +271,6 @@ def within_map(ct: DataFrame, a: str, b: str) -> DataFrame:
 
 # ---- label alignment ---------------------------------------------------------------------------
 
-def best_assignment(overlap: np.ndarray) -> list[int]:
-    """Column for each row of a square overlap matrix with the largest total; among equal totals the
-    lexicographically smallest list. Subset dynamic programming from the last row to the first."""
-    n = len(overlap)
-    best = {0: 0}  # set of columns used by rows i..n-1 -> largest total
-    layers = [best]
-    for i in range(n - 1, -1, -1):
-        nxt: dict[int, int] = {}
-        for mask, value in best.items():
-            for j in range(n):
-                if not mask >> j & 1:
-                    m = mask | 1 << j
-                    v = value + int(overlap[i, j])
-                    if v > nxt.get(m, -1):
-                        nxt[m] = v
-        best = nxt
-        layers.append(best)
-    mask, out = (1 << n) - 1, []
-    for i in range(n):
-        rest = layers[n - 1 - i]
-        for j in range(n):
-            if mask >> j & 1 and int(overlap[i, j]) + rest[mask ^ 1 << j] == layers[n - i][mask]:
-                out.append(j)
-                mask ^= 1 << j
-                break
-    return out
-
-
 def align(ct: DataFrame, reference: str, candidate: str, k: int, by: Sequence[str]) -> DataFrame:
     """Mapping candidate -> reference label of maximum overlap per group: (by, candidate, aligned). The
     counting is distributed; a group is at most k x k cells. Candidates beyond the reference labels

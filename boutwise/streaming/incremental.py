@@ -1,14 +1,16 @@
-"""Streaming counterparts: running moments per key, and the interval to the last accepted bout."""
+"""Streaming counterparts: running moments per key, and the interval to the bout before."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from ..functions.ordering import join_nullsafe, previous
+from pyspark.sql.streaming.state import GroupState
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,31 +54,59 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return out.drop("epoch") if "epoch" in out.columns else out
 
 
-def online_intervals(stream: DataFrame, key: str, block: float = 3600.0) -> DataFrame:
-    """Runs the stream over what is available: (key, start, end, interval, late) per bout. Within a micro-batch a unit's bouts are ordered by
-    start, whatever order they came in; a bout that ends before the latest end of the batches before is late, gets no interval
-    and moves nothing. The first bout has no interval. One stored end per unit links the batches; `block` (in units of start) splits
-    a long unit over tasks."""
-    spark = stream.sparkSession
-    out, ends, ckpt = (scratch(spark, f"intervals-{part}") for part in ("rows", "ends", "progress"))
-    kind = dict(stream.dtypes)[key]
+GRACE = "10000 days"
+STATE = "last double, newest long, at array<long>, start array<double>, end array<double>"
 
-    def write(batch: DataFrame, epoch: int) -> None:
-        # an epoch reads what the one before has left, so a replayed epoch gives the same rows
-        if epoch:
-            stored = spark.read.parquet(f"{ends}/{epoch - 1}")
-        else:
-            stored = spark.createDataFrame([], f"{key} {kind}, last double")
-        rows = join_nullsafe(batch.select(key, F.col("start").cast("double"), F.col("end").cast("double")), stored, [key], "left")
-        rows = rows.withColumn("late", F.coalesce(F.col("end") < F.col("last"), F.lit(False)))
-        good = previous(rows.where("not late").withColumn("_at", F.struct("start", "end")), [key], "_at", ["end"], F.floor(F.col("start") / block))
-        good = good.withColumn("interval", F.col("start") - F.coalesce("prev_end", "last"))
-        late = rows.where("late").withColumn("interval", F.lit(None).cast("double"))
-        cols = [key, "start", "end", "interval", "late"]
-        good.select(*cols).unionByName(late.select(*cols)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        newest = batch.groupBy(key).agg(F.max(F.col("end").cast("double")).alias("last"))
-        stored.unionByName(newest).groupBy(key).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{ends}/{epoch}")
-
-    q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).drop("epoch")
+
+def online_intervals(stream: DataFrame, key: str, time: str, delay: str, forget_ms: int | None = None) -> DataFrame:
+    """A streaming DataFrame (key, start, end, interval, late) of the bouts (key, `time`, start, end); `interval` is start minus the end of the unit's bout before.
+
+    A bout waits in its unit's state until the watermark (the largest `time` seen in earlier micro-batches minus `delay`) has passed it by more than a
+    millisecond, so that nothing earlier can come; then a timer lets it out, in the order of (time, start, end), whatever batches the bouts came in. A bout
+    whose time is below the watermark on arrival is late: it comes out at once without an interval and moves nothing (bouts more than `GRACE` behind are dropped and
+    counted by Spark). A unit's first bout has no interval. A row without a start is a heartbeat: it moves the watermark and gives no row.
+
+    The state of a unit is one end and the bouts of the last `delay`; with `forget_ms` a unit without a bout for so long leaves the state, and its
+    next bout counts as its first."""
+    kind = dict(stream.dtypes)[key]
+    # Spark drops rows whose event time is below the watermark. A clock that runs GRACE ahead, under a delay longer by as much, has the same watermark
+    # and lets late rows through to be marked
+    clock = F.col(time) + F.expr(f"interval {GRACE}")
+    rows = stream.withColumn("_clock", clock).withWatermark("_clock", f"{GRACE} {delay}").select(
+        key, "_clock", F.floor(F.unix_micros(time) / 1000).cast("long").alias("_at"), F.col("start").cast("double").alias("start"),
+        F.col("end").cast("double").alias("end"))
+
+    def step(unit: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        last, newest, *waiting = state.get if state.exists else (None, None, [], [], [])
+        parts = [pd.DataFrame({"_at": waiting[0], "start": waiting[1], "end": waiting[2]}).astype({"_at": "int64", "start": float, "end": float})]
+        if not state.hasTimedOut:
+            for b in batches:
+                b = b[b["start"].notna() & b["_at"].notna()]
+                late = b["_at"] < mark
+                if late.any():
+                    out = b.loc[late, [key, "start", "end"]]
+                    yield out.assign(interval=np.nan, late=True)
+                parts.append(b.loc[~late, ["_at", "start", "end"]])
+        held = pd.concat([p for p in parts if len(p)] or parts[:1]).sort_values(["_at", "start", "end"], kind="stable")
+        ready = (held["_at"] + 1 < mark).to_numpy()
+        out, held = held[ready], held[~ready]
+        if len(out):
+            end = out["end"].to_numpy()
+            before = np.concatenate(([np.nan if last is None else last], end[:-1]))
+            yield pd.DataFrame({key: [unit[0]] * len(out), "start": out["start"].to_numpy(), "end": end, "interval": out["start"].to_numpy() - before, "late": False})
+            last, newest = float(end[-1]), int(out["_at"].iloc[-1])
+        if not len(held) and (last is None or forget_ms is not None and newest + forget_ms + 1 <= mark):
+            if state.exists:
+                state.remove()
+            return
+        state.update((last, newest, *[held[c].tolist() for c in ("_at", "start", "end")]))
+        if len(held):
+            state.setTimeoutTimestamp(int(held["_at"].iloc[0]) + 1)
+        elif forget_ms is not None:
+            state.setTimeoutTimestamp(newest + forget_ms + 1)
+
+    schema = f"`{key}` {kind}, start double, end double, interval double, late boolean"
+    out = rows.groupBy(key).applyInPandasWithState(step, schema, STATE, "append", "EventTimeTimeout")
+    # heartbeats make no unit of their own visible, and pandas has NaN for a missing interval
+    return out.withColumn("interval", F.nanvl("interval", F.lit(None).cast("double")))

@@ -35,6 +35,26 @@ def test_assignment_is_lexicographic_optimum():
         assert G.best_assignment(m) == list(best)
 
 
+def test_assignment_of_large_matrices():
+    """200 labels in under a second each: a hidden permutation, many ties, all cells equal."""
+    import time
+
+    rng = np.random.default_rng(2)
+    hidden = rng.permutation(200)
+    m = rng.integers(0, 50, (200, 200))
+    m[np.arange(200), hidden] += 10**12
+    t = time.time()
+    assert G.best_assignment(m) == hidden.tolist()
+    assert G.best_assignment(np.full((200, 200), 7)) == list(range(200))
+    few = rng.integers(0, 2, (200, 200))
+    got = G.best_assignment(few)
+    assert sorted(got) == list(range(200)) and few[np.arange(200), got].sum() == 200
+    assert time.time() - t < 3
+    assert G.best_assignment(np.zeros((0, 0))) == []
+    with pytest.raises(ValueError):
+        G.best_assignment(np.zeros((2, 3)))
+
+
 def test_unmatched_candidates_get_fresh_ids(spark):
     df = labels(spark, [0, 0, 1, 1, 1], [0, 0, 1, 1, 2])
     got = {r["b"]: r["aligned"] for r in G.align(G.contingency(df, "a", "b"), "a", "b", 2, []).collect()}

@@ -187,14 +187,48 @@ def test_compare_usage_with_a_missing_motif(spark):
     assert got["z"] is None and got["x"] > 0 and got["y"] > 0
 
 
+def bout_stream(spark, folder, batches):
+    """Batches of (unit, start, end) in seconds, one file each; a start of None is a heartbeat at the end."""
+    schema = "n int, k long, start double, end double"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(i, *r) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    return s.withColumn("at", F.timestamp_micros((F.coalesce("start", "end") * 1_000_000 + 1.7e15).cast("long")))
+
+
 def test_stream_flags_late_rows(spark, tmp_path):
-    schema = "k long, start double, end double"
-    for i, rows in enumerate([[(1, 0.0, 1.0), (1, 3.0, 4.0), (2, 0.0, 9.0)], [(1, 2.0, 2.5), (1, 6.0, 7.0), (2, 10.0, 11.0)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {(r["k"], r["start"]): (r["interval"], r["late"]) for r in ST.online_intervals(s, "k").collect()}
-    assert got[(1, 0.0)] == (None, False) and got[(1, 3.0)] == (2.0, False) and got[(2, 10.0)] == (1.0, False)
-    assert got[(1, 2.0)] == (None, True) and got[(1, 6.0)] == (2.0, False)
+    s = bout_stream(spark, tmp_path / "in", [
+        [(1, 0.0, 1.0), (1, 3.0, 4.0), (2, 0.0, 9.0)], [(2, 10.0, 11.0)], [(1, 2.0, 2.5), (1, 6.0, 7.0), (1, 20.0, 21.0)], [(3, None, 1000.0)], [(2, 1.0, 2.0)], [(2, 1002.0, 1003.0)]])
+    out = ST.online_intervals(s, "k", "at", "5 seconds")
+    assert out.isStreaming
+    got = {(r["k"], r["start"]): (r["interval"], r["late"]) for r in ST.run_to_table(out, "append", "late").collect()}
+    assert got == {(1, 0.0): (None, False), (1, 3.0): (2.0, False), (2, 0.0): (None, False), (2, 10.0): (1.0, False), (1, 2.0): (None, True), (1, 6.0): (2.0, False),
+                   (1, 20.0): (13.0, False), (2, 1.0): (None, True)}
+
+
+def test_stream_forgets_idle_units(spark, tmp_path):
+    batches = [[(1, 0.0, 1.0)], [(2, 100.0, 101.0)], [(2, 110.0, 111.0)], [(1, 120.0, 121.0), (2, 121.0, 122.0)], [(9, None, 500.0)], [(9, None, 600.0)]]
+    for name, forget, first in (("a", None, 119.0), ("b", 20_000, None)):
+        out = ST.online_intervals(bout_stream(spark, tmp_path / name, batches), "k", "at", "1 second", forget)
+        got = {(r["k"], r["start"]): r["interval"] for r in ST.run_to_table(out, "append", "forget").collect()}
+        assert got == {(1, 0.0): None, (2, 100.0): None, (2, 110.0): 9.0, (1, 120.0): first, (2, 121.0): 10.0}
+
+
+def test_stream_in_one_or_many_batches(spark, tmp_path):
+    """Bouts in any order within the delay give the same rows whatever the batches are."""
+    rng = np.random.default_rng(5)
+    start = np.sort(rng.uniform(0, 900, 600))
+    rows = [(int(k), float(s), float(s) + 0.2) for k, s in zip(rng.integers(0, 4, 600), start)]
+    want, last = set(), {}
+    for k, s, e in rows:
+        want.add((k, s, s - last[k] if k in last else None, False))
+        last[k] = e
+    mixed = [r for lo in range(0, 600, 12) for r in rng.permutation(np.array(rows[lo:lo + 12], object)).tolist()]
+    beat = [(0, None, 5000.0)]
+    for name, size in (("one", 600), ("many", 120)):
+        batches = [[tuple(r) for r in mixed[lo:lo + size]] for lo in range(0, 600, size)]
+        out = ST.online_intervals(bout_stream(spark, tmp_path / name, [*batches, beat]), "k", "at", "60 seconds")
+        assert {(r["k"], r["start"], r["interval"], r["late"]) for r in ST.run_to_table(out, "append", name).collect()} == want
 
 
 def test_geometry_of_equal_embeddings(spark, blobs):
@@ -210,9 +244,11 @@ def test_unordered_hot_unit_has_no_late_rows(spark, tmp_path):
     """One unit, many bouts that come unordered in one batch; a plain session without a state store suffices."""
     n = 40_000
     rows = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 4.0).alias("end")).orderBy(F.xxhash64("start"))
+    rows = rows.union(spark.createDataFrame([(2, None, 1e9)], "k int, start double, end double"))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = ST.online_intervals(s, "k")
+    s = s.withColumn("at", F.timestamp_seconds(F.coalesce("start", "end")))
+    got = ST.run_to_table(ST.online_intervals(s, "k", "at", "1 minute"), "append", "hot")
     assert got.count() == n and got.where("late").count() == 0 and got.where("interval = 6.0").count() == n - 1
 
 

@@ -159,7 +159,12 @@ def _(spark, d):
 
 @query("str_2_online_intervals", """WITH e AS (SELECT user_id, epoch_us(ts)/1e6 AS t FROM events) SELECT user_id, round(t,6) AS start, round(t-lag(t) OVER (PARTITION BY user_id ORDER BY t),4) AS "interval", false AS late FROM e""")
 def _(spark, d):
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    s = event_stream(spark, d).select("user_id", t.alias("start"), t.alias("end"))
-    r = ST.online_intervals(s, "user_id")
+    at = F.col("ts").cast("timestamp")
+    t = F.unix_micros(at) / 1e6
+    e = event_stream(spark, d)
+    s = e.select("user_id", at.alias("at"), t.alias("start"), t.alias("end"))
+    # a heartbeat long after the last event, so that the watermark passes all of them
+    none = F.lit(None).cast("double")
+    beat = e.where("event_id = 0").select("user_id", F.lit("2200-01-01").cast("timestamp").alias("at"), none.alias("start"), none.alias("end"))
+    r = ST.run_to_table(ST.online_intervals(s.union(beat), "user_id", "at", "1 hour"), "append", "intervals")
     return r.select("user_id", F.round("start", 6).alias("start"), F.round("interval", 4).alias("interval"), "late")
