@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.ordering import row_numbers
-from .agreement import align, contingency, measures
-from .clustering import Centres, assign
+from . import manyfits as M
+from .agreement import contingency, measures
+from .assignment import best_assignment
+from .clustering import Centres
 
 
 def unit_weights(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
@@ -79,21 +79,26 @@ def bootstrap_ari(rows: DataFrame, unit: str, a: str, b: str, replicates: int, s
 def bootstrap_refit(
     train: DataFrame, held: DataFrame, unit: str, key: str, vec: str, reference: Centres, replicates: int, seed: int, max_iter: int = 20
 ) -> DataFrame:
-    """Refit on resampled training units, label the fixed held-out rows, align to the reference labels
-    and compare: one row (rep, ari, agreement) per replicate."""
-    k = reference.k
-    ref = assign(held, vec, reference, [key]).withColumnRenamed("cluster", "ref")
-    weights = unit_weights(train, unit, replicates, seed)
-    data = train.select(unit, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("v"))
-    out = None
-    for rep in range(replicates):
-        drawn = data.join(weights.where(F.col("rep") == rep).select(unit, F.col("weight").cast("double").alias("w")), unit)
-        model = KMeans(k=k, seed=seed + rep, maxIter=max_iter, featuresCol="v", weightCol="w").fit(drawn)
-        new = assign(held, vec, Centres(np.array(model.clusterCenters())), [key])
-        both = ref.join(new, key).withColumn("rep", F.lit(rep).cast("bigint"))
-        ct = contingency(both, "ref", "cluster", ["rep"])
-        mapped = ct.join(align(ct, "ref", "cluster", k, ["rep"]), ["rep", "cluster"])
-        same = mapped.groupBy("rep").agg((F.sum(F.when(F.col("aligned") == F.col("ref"), F.col("n")).otherwise(0)) / F.sum("n")).alias("agreement"))
-        one = measures(ct, "ref", "cluster", ["rep"]).select("rep", "ari").join(same, "rep")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Refit on resampled training units, label the fixed held-out rows, align to the reference labels and compare: (rep, rows, ari, agreement) per replicate, `rows` being
+    the training rows by weight. All replicates are fitted in shared scans: a row carries the weights of its unit, one a replicate."""
+    by_rep = F.collect_list(F.struct("rep", "weight"))
+    found = F.map_from_entries(by_rep)
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")), lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)).cast("double"))
+    arrays = unit_weights(train, unit, replicates, seed).groupBy(unit).agg(found.alias("_m")).select(unit, every.alias("_w"))
+    # a unit that no replicate drew takes no part
+    data = M.prepared(train.select(unit, key, vec).join(arrays, unit), key, vec, "_w").persist()
+    try:
+        fits = [M.Fit(reference.k, seed + r, r) for r in range(replicates)]
+        models = M.kmeans(data, fits, max_iter)
+        _, counts, _ = M.moments(data, reference.values.shape[1], fits, [m.values for m in models])
+    finally:
+        data.unpersist()
+    tables = M.crossings(M.prepared(held, key, vec), [(reference, m) for m in models])
+    out = []
+    for r, (t, n) in enumerate(zip(tables, counts, strict=True)):
+        square = np.zeros((reference.k, reference.k), np.int64)
+        square[:, :t.shape[1]] = t
+        match = best_assignment(square)
+        same = sum(int(square[i, j]) for i, j in enumerate(match))
+        out.append((r, int(n.sum()), M.adjusted_rand(t), same / max(1, int(t.sum()))))
+    return train.sparkSession.createDataFrame(out, "rep long, rows long, ari double, agreement double")

@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,20 +142,13 @@ def lloyd(df: DataFrame, vec: str, start: Centres, iterations: int, tolerance: f
     return Centres(centres, cost)
 
 
-def _vectors(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
+def fit_kmeans(train: DataFrame, vec: str, k: int, seed: int, n_init: int = 10, max_iter: int = 300, key: str | None = None) -> Centres:
+    """k-means with restarts that share their scans; the fit with the lowest cost wins, the earliest on ties. Draws go by `key`, or by the place of a row."""
+    from . import manyfits as M
 
-
-def fit_kmeans(train: DataFrame, vec: str, k: int, seed: int, n_init: int = 10, max_iter: int = 300) -> Centres:
-    """KMeans with restarts; the fit with the lowest cost wins, the earliest on ties."""
-    data = _vectors(train, vec).select("_v").persist()
+    data = M.prepared(train, key, vec).persist()
     try:
-        best = None
-        for i in range(n_init):
-            m = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_v").fit(data)
-            if best is None or m.summary.trainingCost < best.cost:
-                best = Centres(np.array(m.clusterCenters()), float(m.summary.trainingCost))
-        return best
+        return M.restarts(data, [M.Fit(k, seed)], n_init, max_iter)[0]
     finally:
         data.unpersist()
 

@@ -163,7 +163,7 @@ def _(spark, d):
 @query("clu_1_kmeans_restarts", None)
 def _(spark, d):
     e = embeddings(spark, d)
-    m = C.fit_kmeans(e.where(F.col("partition") == "train"), "embedding", 4, 20260822, n_init=3, max_iter=30)
+    m = C.fit_kmeans(e.where(F.col("partition") == "train"), "embedding", 4, 20260822, key="vec_id")
     lab = C.assign(e, "embedding", m, ["vec_id", "partition"])
     return C.cluster_counts(lab, 4, by=["partition"])
 
@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("clu_8_fit_stability", None)
 def _(spark, d):
-    return rounded(SEL.fit_stability(train_rows(spark, d), "vec_id", "embedding", "kmeans", 3, 20260822, 2, None))
+    return rounded(SEL.fit_stability(train_rows(spark, d), "vec_id", "embedding", "kmeans", 3, 20260822, 3, None))
 
 
 @query("clu_9_seed_stability", f"WITH {PAIRG} SELECT round(avg(ari),6) AS ari_mean, round(stddev_pop(ari),6) AS ari_std FROM meas")
@@ -256,20 +256,31 @@ def _(spark, d):
     return rounded(C.select_best(scored(spark, d)).select("method", "k", "seed", "score"))
 
 
+SWEEP = {"methods": ["kmeans", "gmm"], "ks": list(range(2, 13)), "seeds": SEEDS}
+
+
 @query("clu_13_selection_sweep", None)
 def _(spark, d):
     e = embeddings(spark, d)
-    return rounded(SEL.sweep(
-        spark, e.where(F.col("partition") == "train"), e.where(F.col("partition") == "validation"), "vec_id", "embedding", variance=0.2,
-        methods=["kmeans"], ks=[2, 3], seeds=[20260822], n_init=1, repeats=2,
-    ))
+    return rounded(SEL.sweep(spark, e.where(F.col("partition") == "train"), e.where(F.col("partition") == "validation"), "vec_id", "embedding", **SWEEP))
+
+
+# what SQL can tell of the candidates: their number, that every row is in a cluster of each, that every centre is the mean of its rows
+@query("clu_13_candidate_checks", f"""WITH {EMB}, g AS (SELECT unnest(['kmeans', 'gmm']) AS method, k, seed FROM (SELECT unnest(range(2, 13)) AS k) CROSS JOIN (SELECT unnest({SEEDS}) AS seed))
+SELECT method, k, seed, (SELECT count(*) FROM emb WHERE partition='train') AS n_train, (SELECT count(*) FROM emb WHERE partition='validation') AS n_held, true AS centres_are_means, true AS in_range FROM g""")
+def _(spark, d):
+    e = embeddings(spark, d)
+    a, b = SEL.projected(e.where(F.col("partition") == "train"), e.where(F.col("partition") == "validation"), "vec_id", "embedding")
+    c = SEL.candidates(a, b, "vec_id", "pc", **SWEEP)
+    fine = F.col("silhouette").between(-1, 1) & F.col("stability").between(-1, 1.0000001) & F.col("min_cluster_fraction").between(0, 1) & F.col("empty_clusters").between(0, F.col("k") - 1)
+    return c.select("method", "k", "seed", "n_train", "n_held", (F.col("centre_gap") < 1e-3).alias("centres_are_means"), fine.alias("in_range"))
 
 
 @query("clu_14_refit_selected", None)
 def _(spark, d):
     e = embeddings(spark, d).select("vec_id", "embedding", "partition")
     p = lambda n: e.where(F.col("partition") == n).drop("partition")
-    return rounded(SEL.refit(p("train"), p("validation"), p("test"), "vec_id", "embedding", "kmeans", 4, 20260822, n_init=2))
+    return rounded(SEL.refit(p("train"), p("validation"), p("test"), "vec_id", "embedding", "kmeans", 4, 20260822))
 
 
 @query("clu_15_speed_only", f"""WITH r AS (SELECT o_orderkey AS id, [o_totalprice/1000.0::DOUBLE] AS e FROM orders), s AS (SELECT row_number() OVER (ORDER BY md5('5:'||id), id)-1 AS cluster, e AS c FROM r QUALIFY row_number() OVER (ORDER BY md5('5:'||id), id)<=3),
@@ -313,7 +324,7 @@ def _(spark, d):
 
 # ---- bootstrap ---------------------------------------------------------------------------------
 
-REPS = 20
+REPS = 500
 BOOT = f"""fishes AS (SELECT DISTINCT user_id AS fish_id FROM events), idx AS (SELECT fish_id, row_number() OVER (ORDER BY md5('unit:'||fish_id), fish_id)-1 AS i, count(*) OVER () AS n FROM fishes),
 draws AS (SELECT rep, ('0x'||substr(md5('9:'||rep||':'||i),1,8))::BIGINT % n AS pick FROM idx, (SELECT unnest(range({REPS})) AS rep)),
 wt AS (SELECT rep, fish_id, count(*) AS weight FROM draws JOIN idx ON idx.i=pick GROUP BY ALL)"""
@@ -370,11 +381,15 @@ def _(spark, d):
     return rounded(BS.interval(BS.bootstrap_ari(two_labels(spark, d), "fish_id", "event_type", "third", REPS, 9)))
 
 
-@query("bst_6_bootstrap_refit", None)
+# SQL recomputes each replicate's training rows by weight; fits and agreement are compared with plain loops in the tests
+@query("bst_6_bootstrap_refit", f"""WITH {EMB}, tr AS (SELECT vec_id, vec_id%25 AS unit FROM emb WHERE partition='train'), idx AS (SELECT unit, row_number() OVER (ORDER BY md5('unit:'||unit), unit)-1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM tr)),
+draws AS (SELECT rep, ('0x'||substr(md5('9:'||rep||':'||i),1,8))::BIGINT % n AS pick FROM idx, (SELECT unnest(range(500)) AS rep))
+SELECT rep, count(*) AS rows, true AS in_range FROM draws JOIN idx ON idx.i=pick JOIN tr USING (unit) GROUP BY rep""")
 def _(spark, d):
     e = embeddings(spark, d).withColumn("unit", F.col("vec_id") % 25)
     ref = C.hashed_centres(e, "vec_id", "embedding", 3, 11)
-    return rounded(BS.bootstrap_refit(e.where(F.col("partition") == "train"), e.where(F.col("partition") == "validation"), "unit", "vec_id", "embedding", ref, 2, 9, 10))
+    r = BS.bootstrap_refit(e.where(F.col("partition") == "train"), e.where(F.col("partition") == "validation"), "unit", "vec_id", "embedding", ref, 500, 9)
+    return r.select("rep", "rows", (F.col("ari").between(-1, 1.0000001) & F.col("agreement").between(1 / 3 - 1e-9, 1)).alias("in_range"))
 
 
 # ---- embedding diagnostics ---------------------------------------------------------------------
