@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from .linear import column_means, dimension, matrix
+from .linear import matrix
 from .tiles import reduce_tiles, tile_count
 
 
@@ -162,89 +162,17 @@ def _log_density(x: np.ndarray, w: np.ndarray, mu: np.ndarray, chol: list[np.nda
     return out
 
 
-def _mixture_pass(df: DataFrame, vec: str, shift: np.ndarray, k: int, share) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
-    """One pass over the rows: per component the weight sum, weighted mean and second moment around
-    `shift`, plus log likelihood and row count. share(x) gives (responsibilities, log likelihoods).
-    Tasks send k (d+1) short rows."""
-    dim = len(shift)
-    arrow = pa.schema([("j", pa.int32()), ("i", pa.int32()), ("w", pa.float64()), ("ll", pa.float64()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, s, ss, ll, n = np.zeros(k), np.zeros((k, dim)), np.zeros((k, dim, dim)), 0.0, 0
-        for b in batches:
-            x = matrix(b.column(0), dim)
-            if not len(x):
-                continue
-            r, lse = share(x)
-            y = x - shift
-            w += r.sum(axis=0)
-            s += r.T @ y
-            for j in range(k):
-                ss[j] += (y * r[:, j : j + 1]).T @ y
-            ll += float(lse.sum())
-            n += len(x)
-        rows = [(j, i, w[j] if i < 0 else 0.0, ll if i < 0 and j == 0 else 0.0, n if i < 0 and j == 0 else 0, (s[j] if i < 0 else ss[j, i]).tolist()) for j in range(k) for i in range(-1, dim)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-
-    parts = df.select(vec).mapInArrow(partial, "j int, i int, w double, ll double, n long, s array<double>")
-    got = parts.groupBy("j", "i").agg(
-        F.sum("w").alias("w"), F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[c]) for c in range(dim)]).alias("s")
-    ).collect()  # k (d+1) rows
-    w, s, ss = np.zeros(k), np.zeros((k, dim)), np.zeros((k, dim, dim))
-    for r in got:
-        if r["i"] < 0:
-            w[r["j"]], s[r["j"]] = r["w"], r["s"]
-        else:
-            ss[r["j"], r["i"]] = r["s"]
-    return w, s, ss, float(sum(r["ll"] for r in got)), int(sum(r["n"] for r in got))
-
-
 def fit_gmm(
-    train: DataFrame, vec: str, k: int, seed: int, n_init: int = 1, max_iter: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6
+    train: DataFrame, vec: str, k: int, seed: int, n_init: int = 1, max_iter: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6, key: str | None = None
 ) -> Mixture:
-    """Full-covariance Gaussian mixture by expectation maximisation from a k-means start, with `ridge`
-    added to every covariance diagonal (a component without rows then stays finite). Stops when the
-    mean log likelihood moves less than the tolerance; the restart with the highest one wins."""
-    data = train.select(vec).persist()
+    """Full-covariance Gaussian mixture by expectation maximisation from k-means starts that share their scans, with `ridge` added to every covariance diagonal (a component
+    without rows then stays finite). Stops when the mean log likelihood moves less than the tolerance; the start with the highest one wins."""
+    from . import manyfits as M
+
+    data = M.prepared(train, key, vec).persist()
     try:
-        dim = dimension(data, vec)
-        shift = column_means(data, vec, dim)
-        best = None
-        for attempt in range(n_init):
-            start = fit_kmeans(data, vec, k, seed + attempt, n_init=1, max_iter=30).values
-            if len(start) < k:
-                start = np.concatenate([start, np.repeat(shift[None], k - len(start), axis=0)])
-
-            def hard(x: np.ndarray, start=start):
-                return np.eye(k)[_nearest_two(x, start)[0]], np.zeros(len(x))
-
-            share, last, mix = hard, None, None
-            for _ in range(max_iter + 1):
-                w, s, ss, ll, n = _mixture_pass(data, vec, shift, k, share)
-                if mix is not None:
-                    mix = Mixture(mix.weights, mix.means, mix.covs, ll, n)
-                    if last is not None and abs(ll / n - last) < tolerance:
-                        break
-                    last = ll / n
-                held = mix
-                safe = w + 10 * np.finfo(float).eps
-                rel = s / safe[:, None]
-                covs = ss / safe[:, None, None] - rel[:, :, None] * rel[:, None, :] + ridge * np.eye(dim)
-                mix = Mixture(safe / safe.sum(), rel + shift, covs, float("nan"), n)
-                chol = [np.linalg.cholesky(c) for c in covs]
-
-                def soft(x: np.ndarray, w=mix.weights, mu=mix.means, chol=chol):
-                    logp = _log_density(x, w, mu, chol)
-                    top = logp.max(axis=1, keepdims=True)
-                    lse = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
-                    return np.exp(logp - lse[:, None]), lse
-
-                share = soft
-            if np.isnan(mix.log_likelihood):
-                mix = held  # the last parameters that were scored
-            if best is None or mix.log_likelihood > best.log_likelihood:
-                best = mix
-        return best
+        found = M.mixtures(data, [M.Fit(k, seed + i) for i in range(n_init)], max_iter, tolerance, ridge)
+        return max(found, key=lambda m: m.log_likelihood)
     finally:
         data.unpersist()
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 15  # numbers in one row
 FAN = 32  # vectors added by one task
+DIRECT = 1 << 22  # numbers that may reach the driver before the last addition
 SCHEMA = "chunk long, task long, vector binary"
 
 
@@ -22,7 +23,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def vector_sum(df: DataFrame, size: int, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> np.ndarray:
     """Sum over all rows of a vector of `size` doubles. In each task start() gives a function from an Arrow batch to its part of the sum. A task sends one vector in rows of
-    `CHUNK` numbers; `FAN` of them are added by one task, level by level, and the sum alone reaches the driver."""
+    `CHUNK` numbers; `FAN` of them are added by one task, level by level, until at most `DIRECT` numbers are left or one vector, which reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, part = np.zeros(size), None
@@ -39,10 +40,12 @@ def vector_sum(df: DataFrame, size: int, start: Callable[[], Callable[[pa.Record
     out = df.mapInArrow(run, SCHEMA)
     # metadata only: how many vectors there will be
     tasks = df.rdd.getNumPartitions()
-    while tasks > 1:
+    while tasks > 1 and tasks * size > DIRECT:
         out = out.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("chunk", "task").applyInArrow(_add, SCHEMA)
         tasks = -(-tasks // FAN)
-    rows = out.toArrow().sort_by("chunk")
-    if not rows.num_rows:
-        return np.zeros(size)
-    return np.concatenate([np.frombuffer(v.as_py()) for v in rows.column("vector")])
+    rows = out.toArrow().sort_by([("chunk", "ascending"), ("task", "ascending")])
+    total = np.zeros(size)
+    for c, v in zip(rows.column("chunk").to_pylist(), rows.column("vector"), strict=True):
+        part = np.frombuffer(v.as_py())
+        total[c * CHUNK:c * CHUNK + len(part)] += part
+    return total

@@ -15,6 +15,7 @@ from ..operators.linear import fit_pca
 from ..operators.sampling import subsample
 
 SAMPLE = 20_000  # rows of a silhouette and of the repeated fits, as in the study
+ONE_CLUSTER = -1.0  # silhouette of a candidate that puts all held-out rows into one cluster
 STEP = 1009  # between the seeds of repeated fits
 
 
@@ -107,7 +108,7 @@ def candidates(
         total = int(seen[i].sum())
         empty = k - int((seen[i] > 0).sum())
         least = 0.0 if empty or not total else float(seen[i].min() / total)
-        out.append((m, k, s, int(fitted[i].sum()), total, off[i], None if np.isnan(sil[i]) else sil[i], stab[i], least, empty))
+        out.append((m, k, s, int(fitted[i].sum()), total, off[i], ONE_CLUSTER if np.isnan(sil[i]) else sil[i], stab[i], least, empty))
     table = train.sparkSession.createDataFrame(
         out, "method string, k long, seed long, n_train long, n_held long, centre_gap double, silhouette double, stability double, min_cluster_fraction double, empty_clusters long")
     scored = C.selection_score(F.col("silhouette"), F.col("stability"), F.col("min_cluster_fraction"), F.col("empty_clusters"))
