@@ -14,7 +14,7 @@ from ..functions import arrays as A
 from ..functions import hashing as H
 from ..functions.expressions import one_row
 from .effects import robust_summary, spearman
-from .linear import column_means, covariance, dimension, fit_pca, to_matrix
+from .linear import column_means, fit_pca, principal_axes
 from .sampling import subsample
 
 
@@ -52,15 +52,15 @@ def norm_report(df: DataFrame, vec: str, outlier_z: float = 6.0) -> DataFrame:
 
 
 def covariance_report(spark: SparkSession, df: DataFrame, vec: str, floor: float = 1e-10) -> DataFrame:
-    """Rank, extreme eigenvalues and condition number of the covariance. The d x d matrix is summed on
-    the executors and its spectrum taken on the driver."""
-    dim = dimension(df, vec)
-    cov = to_matrix(covariance(df, vec, dim), dim)
-    w = np.sort(np.linalg.eigvalsh(cov))[::-1]
+    """Rank, extreme eigenvalues, their sum and sum of squares, and condition number of the covariance, from the triangular factor of the rows."""
+    model = principal_axes(df, vec)
+    w = model.scatter / model.n
     pos = w[w > floor]
-    row = (int(np.linalg.matrix_rank(cov)), int(len(pos)), float(w[0]), float(w[-1]), float(pos[-1]) if len(pos) else None,
+    rank = int((np.sqrt(model.scatter) > np.sqrt(model.scatter.max()) * max(model.n, len(w)) * np.finfo(float).eps).sum())
+    row = (rank, int(len(pos)), float(w[0]), float(w[-1]), float(w.sum()), float((w * w).sum()), float(pos[-1]) if len(pos) else None,
            float(pos[0] / pos[-1]) if len(pos) else None)
-    return spark.createDataFrame([row], "rank bigint, positive bigint, largest double, smallest double, smallest_positive double, condition double")
+    return spark.createDataFrame(
+        [row], "rank bigint, positive bigint, largest double, smallest double, trace double, squares double, smallest_positive double, condition double")
 
 
 def pca_report(spark: SparkSession, df: DataFrame, vec: str) -> DataFrame:
@@ -106,11 +106,13 @@ def scale_vector(df: DataFrame, vec: str, train: DataFrame, dim: int, out: str =
     return row.withColumn(out, z).drop("_p")
 
 
-def pca_shift(spark: SparkSession, df: DataFrame, vec: str, dim: int, partition: str = "partition", train: str = "train", held: str = "validation") -> DataFrame:
-    """Distance of the partition means in the space of a training-fitted scaling and 95 % PCA."""
+def pca_shift(
+    spark: SparkSession, df: DataFrame, vec: str, dim: int, partition: str = "partition", train: str = "train", held: str = "validation", variance: float = 0.95
+) -> DataFrame:
+    """Distance of the partition means in the space of a training-fitted scaling and PCA."""
     tr = df.where(F.col(partition) == train)
     scaled = scale_vector(df, vec, tr, dim)
-    model = fit_pca(scaled.where(F.col(partition) == train), "scaled", 0.95)
+    model = fit_pca(scaled.where(F.col(partition) == train), "scaled", variance)
     # the projection is linear: projecting the two mean vectors equals averaging projected rows
     means = [column_means(scaled.where(F.col(partition) == p), "scaled", dim) for p in (train, held)]
     shift = float(np.linalg.norm((means[1] - means[0]) @ model.components))

@@ -1,4 +1,4 @@
-"""Matrix products over array columns: partial sums per Arrow batch, reduced by Spark."""
+"""Matrix products and factors over array columns: partial results per task, reduced by Spark."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,11 +86,56 @@ def map_rows(df: DataFrame, vec: str, fn, width: int, out: str) -> DataFrame:
     return df.withColumn(out, apply(F.col(vec)))
 
 
+FAN = 32  # factors stacked by one task
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """Upper triangular factor of the rows, with no negative number on its diagonal."""
+    width = rows.shape[1]
+    r = np.linalg.qr(np.concatenate((rows, np.zeros((max(0, width - len(rows)), width)))), mode="r")
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def triangular_factor(df: DataFrame, vec: str, dim: int) -> np.ndarray:
+    """R of the QR factorisation of all rows [1, x], (d+1) x (d+1), in one scan. A task folds its rows into one triangle, and triangles are stacked and folded
+    again, `FAN` at a time. The first row tells the number of rows and the mean, the rest is the factor of the centred rows; no products of numbers are
+    summed, so small variances beside large ones, or beside a large mean, keep their digits."""
+    schema = "task long, r binary"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, dim + 1))
+        for b in batches:
+            x = matrix(b.column(0), dim)
+            for lo in range(0, len(x), 4096):
+                part = x[lo:lo + 4096]
+                r = _triangle(np.concatenate((r, np.concatenate((np.ones((len(part), 1)), part), axis=1))))
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["task", "r"])
+
+    def stack(t: pa.Table) -> pa.Table:
+        r = _triangle(np.concatenate([np.frombuffer(v.as_py()).reshape(dim + 1, dim + 1) for v in t.column("r")]))
+        return pa.table({"task": t.column("task")[:1], "r": pa.array([r.tobytes()], pa.binary())})
+
+    rows = df.select(vec)
+    out = rows.mapInArrow(fold, schema)
+    left = rows.rdd.getNumPartitions()  # metadata only
+    while left > FAN:
+        out = out.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task").applyInArrow(stack, schema)
+        left = -(-left // FAN)
+    # at most FAN triangles
+    found = [np.frombuffer(v.as_py()).reshape(dim + 1, dim + 1) for v in out.toArrow().sort_by("task").column("r")]
+    if not found:
+        raise ValueError("no rows to fit on")
+    return _triangle(np.concatenate(found))
+
+
 @dataclass
 class PcaModel:
     components: np.ndarray  # (d, k)
     mean: np.ndarray
     ratios: np.ndarray  # all d explained-variance ratios
+    scatter: np.ndarray  # all d sums of squares along the components
+    n: int
 
     def project(self, df: DataFrame, vec: str, out: str = "pc") -> DataFrame:
         comp, mean = self.components, self.mean
@@ -102,12 +146,30 @@ class PcaModel:
         return int(np.searchsorted(np.cumsum(self.ratios), share - 1e-12) + 1)
 
 
+def principal_axes(df: DataFrame, vec: str, dim: int | None = None) -> PcaModel:
+    """All components from the triangular factor of the rows; the largest entry of each is positive."""
+    dim = dim or dimension(df, vec)
+    r = triangular_factor(df, vec, dim)
+    _, size, axes = np.linalg.svd(r[1:, 1:])
+    sign = np.sign(axes[np.arange(dim), np.abs(axes).argmax(axis=1)])
+    scatter = size**2
+    total = scatter.sum()
+    return PcaModel((axes * sign[:, None]).T, r[0, 1:] / r[0, 0], scatter / total if total > 0 else np.zeros(dim), scatter, int(round(r[0, 0] ** 2)))
+
+
 def fit_pca(train: DataFrame, vec: str, variance: float | None = 0.95, k: int | None = None) -> PcaModel:
     """PCA of the training rows with a fixed number of components or the smallest that reaches the
     variance target. The fitted rotation is applied to centred data."""
-    dim = dimension(train, vec)
-    data = train.select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("v"))
-    model = PCA(k=dim, inputCol="v", outputCol="p").fit(data)
-    out = PcaModel(np.array(model.pc.toArray()), column_means(train, vec, dim), np.array(model.explainedVariance.toArray()))
+    out = principal_axes(train, vec)
+    dim = len(out.mean)
     out.components = out.components[:, : (k if k is not None else min(dim, out.needed(variance)))]
     return out
+
+
+def axis_checks(df: DataFrame, vec: str, model: PcaModel) -> dict[str, float]:
+    """How far the axes are from being the covariance's, by a covariance that is summed on its own: largest entries of V'V - I and of CV - V diag(variance),
+    relative to the largest variance."""
+    dim = len(model.mean)
+    c = to_matrix(covariance(df, vec, dim), dim)
+    v, w = model.components, model.scatter[: model.components.shape[1]] / model.n
+    return {"orthonormality": float(np.abs(v.T @ v - np.eye(v.shape[1])).max()), "residual": float(np.abs(c @ v - v * w).max() / max(w.max(), 1e-300))}

@@ -141,6 +141,29 @@ def _(spark, d):
     return rounded(r.select(F.abs("r").alias("abs_r"), (F.col("r") * F.col("r")).alias("explained")))
 
 
+# what SQL can tell of a decomposition: rows, trace and sum of squares of the covariance, lengths of fully rotated rows; the rest are identities the operator checks on itself
+PCOV = f"""{EMB}, el AS (SELECT vec_id, unnest(range(64)) AS dim, unnest(e) AS x FROM emb WHERE partition='train'), m AS (SELECT dim, avg(x) AS m FROM el GROUP BY dim),
+cov AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS c FROM el a JOIN el b USING (vec_id) GROUP BY a.dim, b.dim)"""
+
+
+@query("pca_1_decomposition_checks", f"""WITH {PCOV} SELECT (SELECT count(*) FROM emb WHERE partition='train') AS n, 64::BIGINT AS axes, round(sum(CASE WHEN i=j THEN c END),6) AS trace, round(sum(c*c),6) AS squares,
+true AS descending, true AS orthonormal, true AS are_eigenvectors, true AS target_reached FROM cov""")
+def _(spark, d):
+    tr = train_rows(spark, d)
+    m = L.principal_axes(tr, "embedding")
+    w, off, k = m.scatter / m.n, L.axis_checks(tr, "embedding", m), m.needed(0.95)
+    total = [float(m.ratios[: k - 1].sum()), float(m.ratios[:k].sum())]
+    row = (m.n, len(w), float(w.sum()), float((w * w).sum()), bool((w[1:] <= w[:-1]).all()), off["orthonormality"] < 1e-9, off["residual"] < 1e-9, total[0] < 0.95 <= total[1] + 1e-12)
+    return rounded(spark.createDataFrame([row], "n long, axes long, trace double, squares double, descending boolean, orthonormal boolean, are_eigenvectors boolean, target_reached boolean"))
+
+
+@query("pca_2_full_rotation", f"WITH {PCOV} SELECT vec_id, round(sum((x-m)*(x-m)),6) AS length FROM (SELECT vec_id, unnest(range(64)) AS dim, unnest(e) AS x FROM emb) JOIN m USING (dim) GROUP BY vec_id")
+def _(spark, d):
+    e = embeddings(spark, d)
+    pc = L.fit_pca(e.where(F.col("partition") == "train"), "embedding", k=64).project(e, "embedding")
+    return rounded(pc.select("vec_id", F.aggregate("pc", F.lit(0.0), lambda t, x: t + x * x).alias("length")))
+
+
 # ---- clustering --------------------------------------------------------------------------------
 
 
@@ -420,6 +443,11 @@ def _(spark, d):
     return rounded(L.covariance(embeddings(spark, d), "embedding", 64))
 
 
+@query("emb_3_spectrum_checks", f"WITH {DIMS}, c AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS c FROM el a JOIN el b USING (vec_id) GROUP BY a.dim, b.dim) SELECT 64::BIGINT AS rank, 64::BIGINT AS positive, round(sum(CASE WHEN i=j THEN c END),6) AS trace, round(sum(c*c),6) AS squares FROM c")
+def _(spark, d):
+    return rounded(E.covariance_report(spark, embeddings(spark, d), "embedding").select("rank", "positive", "trace", "squares"))
+
+
 @query("emb_3_spectrum", None)
 def _(spark, d):
     return rounded(E.covariance_report(spark, embeddings(spark, d), "embedding"))
@@ -433,6 +461,13 @@ def _(spark, d):
     return rounded(E.partition_shift(embeddings(spark, d), "embedding", 64))
 
 
+# with all components the projection keeps the distance of the scaled means
+@query("emb_4_full_pca_shift", f"""WITH {DIMS}, s AS (SELECT dim, avg(x) AS m, stddev_pop(x) AS s FROM el WHERE partition='train' GROUP BY dim), h AS (SELECT dim, avg(x) AS m FROM el WHERE partition='validation' GROUP BY dim)
+SELECT 64::BIGINT AS components, round(sqrt(sum(((h.m-s.m)/CASE WHEN s.s>0 THEN s.s ELSE 1 END)^2)),6) AS mean_shift_l2 FROM s JOIN h USING (dim)""")
+def _(spark, d):
+    return rounded(E.pca_shift(spark, embeddings(spark, d), "embedding", 64, variance=1.0))
+
+
 @query("emb_4_pca_shift", None)
 def _(spark, d):
     return rounded(E.pca_shift(spark, embeddings(spark, d), "embedding", 64))
