@@ -147,19 +147,6 @@ def _numbers(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str
     return df.select(*keys, *parts, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
 
 
-def value_steps(df: DataFrame, keys: Sequence[str], value: str, parts: Sequence[str] = (), bins: int = 64, few_keys: bool = False) -> DataFrame:
-    """Distinct values per key with their count, the number of smaller values (`below`) and the key's
-    row count (`n_key`). Values fall into bins of about equal depth, so no task holds a whole key.
-    With `parts`, counts are also kept per part: rows are (keys, parts, value, _c, c_all, below, n_key).
-    `few_keys` states that the keys are clusters, seeds or features, whose number is a parameter."""
-    probs = [i / bins for i in range(1, bins)]
-    rows = _numbers(df, keys, value, parts)
-    counts = rows.groupBy(*keys, *parts, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    counts = _with_cuts(counts, _cuts(rows, keys, probs, 1000), keys, few_keys)
-    counts = counts.withColumn("_bin", _locate(F.col("_x"), F.col("_cuts"), 0, bins - 1)).drop("_cuts")
-    return _cumulate(counts, keys, parts).withColumnRenamed("_x", value)
-
-
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10000, few_keys: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles per key (position q*(n-1)) as columns named by `probs`.
     A sketch with rank error below 1/accuracy brackets each wanted rank; rows outside every bracket

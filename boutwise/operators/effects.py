@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.expressions import clip01
-from ..functions.ordering import quantiles, value_steps
+from ..functions.ordering import quantiles
+from ..functions.positions import value_steps
 from .clustering import cluster_counts
 
 
@@ -121,9 +122,11 @@ def categorical_effects(df: DataFrame, cluster: str, columns: Sequence[str], by:
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Spearman rho of short profiles (k points per group) with average ranks; NULL below three points
-    or for a constant side: (by, rho, n)."""
-    keys = list(by) or ["_all"]
-    rows = df.select(*by, *([] if by else [F.lit(0).alias("_all")]), finite(x).alias("_x"), finite(y).alias("_y"))
+    or for a constant side: (by, rho, n). Without groups the columns can be of any length."""
+    if not by:
+        return ranked_correlation(df, x, y)
+    keys = list(by)
+    rows = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y"))
     rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
 
     def avg_rank(c: str) -> Column:
@@ -140,12 +143,12 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def ranked_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Spearman rho of columns of any length: ranks come from binned value counts, so no task sorts a
+    """Spearman rho of columns of any length: ranks come from a sample sort of value counts, so no task sorts a
     whole column. (by, rho, n)."""
     rows = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
 
     def ranks(c: str) -> DataFrame:
-        s = value_steps(rows, by, c, few_keys=bool(by))
+        s = value_steps(rows, by, c)
         return s.select(*by, c, (F.col("below") + (F.col("c_all") + 1) / 2.0).alias(f"{c}_r"))
 
     j = rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("w")).join(ranks("_x"), [*by, "_x"]).join(ranks("_y"), [*by, "_y"])
@@ -253,7 +256,7 @@ def chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
 
 def kruskal_wallis(df: DataFrame, value: str, cluster: str) -> DataFrame:
     """H with tie correction, degrees of freedom and p. Rows shrink to (value, cluster) counts, ranks
-    come from binned prefix counts."""
+    come from a sample sort of the values."""
     steps = value_steps(df, [], value, parts=[cluster])
     rank = F.col("below") + (F.col("c_all") + 1) / 2.0
     per = steps.groupBy(cluster).agg(F.sum(F.col("_c") * rank).alias("_r"), F.sum("_c").alias("_n"), F.max("n_key").alias("_all"))

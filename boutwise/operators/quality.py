@@ -209,13 +209,12 @@ def audit_metadata(bouts: DataFrame, ids: Sequence[str], hz: float, speed: str =
 
 
 def encode_categories(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Codes 0.. by sorted order of the distinct values. Values are numbered inside range slices and
-    shifted by the slice offsets, so that many categories do not meet in one task."""
-    from ..functions.ordering import row_numbers
+    """Codes 0.. by sorted order of the distinct values; NULL has none. The values are sorted in ranges of equal size, whatever their prefixes."""
+    from ..functions.positions import positions
 
-    names = df.select(column).where(F.col(column).isNotNull()).distinct()
-    coded = row_numbers(names, [], [F.col(column).cast("string")], F.substring(F.col(column).cast("string"), 1, 2), "_rn")
-    return df.join(coded.select(column, (F.col("_rn") - 1).alias(out)), column, "left")
+    name = F.col(column).cast("string")
+    coded = positions(df.select(column).where(F.col(column).isNotNull()).distinct(), [name], out)
+    return df.join(coded.select(column, out), column, "left")
 
 
 def ari_band(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that spark.checkpoint.dir names. Where it's unset, a local session gets a folder of its own and a cluster an
-    error, as its executors share no local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="boutwise-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..functions.scratch import scratch
 
 
 def running_moments(stream: DataFrame, key: str, value: str) -> DataFrame:

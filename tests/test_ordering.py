@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutwise.functions import ordering as O
+from boutwise.functions import positions as PO
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def test_quantiles_without_keys_and_with_nan(spark):
 
 def test_value_steps_count_smaller_values(skewed):
     df, key, value = skewed
-    got = O.value_steps(df, ["k"], "v").where("k = 0").collect()
+    got = PO.value_steps(df, ["k"], "v").where("k = 0").collect()
     v = np.sort(value[key == 0])
     for r in got[:: max(1, len(got) // 50)]:
         assert r["below"] == np.searchsorted(v, r["v"], "left") and r["c_all"] == (v == r["v"]).sum() and r["n_key"] == len(v)
@@ -67,3 +68,39 @@ def test_first_rows_take_smallest(spark):
     import hashlib
 
     assert got == sorted(sorted(range(5000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:37])
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Every shuffle keeps its partitions, so that small tables have many ranges too."""
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_positions_over_many_ranges(spark, many_ranges):
+    """Values of one prefix: the ranges are about equal and the places gapless."""
+    d = spark.range(5000, numPartitions=7).select(F.concat(F.lit("one-prefix-"), F.format_string("%06d", (F.col("id") * 7919) % 5000)).alias("s"), "id")
+    got = PO.positions(d, ["s"]).collect()
+    assert [r["s"] for r in sorted(got, key=lambda r: r["position"])] == sorted(r["s"] for r in got)
+    assert sorted(r["position"] for r in got) == list(range(5000))
+    ranges = PO._ranges(d, ["s"]).groupBy("_range").count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 1250
+    assert PO.positions(d.where("id < 0"), ["s"]).count() == 0
+
+
+def test_value_steps_by_key_and_part(spark, many_ranges):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.randrange(3), rng.choice([None, math.nan, *map(float, range(40))])) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "k string, p int, v double")
+    fine = [r for r in rows if r[0] is not None and r[2] is not None and not math.isnan(r[2])]
+    want = set()
+    for k, p, v in set(fine):
+        mine = [r for r in fine if r[0] == k]
+        want.add((k, p, v, sum(r == (k, p, v) for r in fine), sum(r[2] == v for r in mine), sum(r[2] < v for r in mine), len(mine)))
+    got = PO.value_steps(d, ["k"], "v", ["p"]).select("k", "p", "v", "_c", "c_all", "below", "n_key").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -145,10 +145,10 @@ def _(spark, d):
 
 @query("eff_11_kruskal_wallis", """WITH s AS (SELECT l_quantity AS v, l_returnflag AS g FROM lineitem), r AS (SELECT g, v, rank() OVER (ORDER BY v)+(count(*) OVER (PARTITION BY v)-1)/2.0 AS r FROM s),
 a AS (SELECT sum(sr*sr/n) AS q, count(*) AS groups FROM (SELECT g, sum(r)::DOUBLE AS sr, count(*)::DOUBLE AS n FROM r GROUP BY g)), t AS (SELECT sum(c*c*c-c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM s GROUP BY v)), n AS (SELECT count(*)::DOUBLE AS n FROM s)
-SELECT n::BIGINT AS n, groups, round((12/(n*(n+1))*q-3*(n+1))/(1-ties/(n*n*n-n)),4) AS h FROM a, t, n""")
+SELECT n::BIGINT AS n, groups, round(h,4) AS h, round(exp(-h/2),9) AS p_value FROM (SELECT n, groups, (12/(n*(n+1))*q-3*(n+1))/(1-ties/(n*n*n-n)) AS h FROM a, t, n)""")  # three groups: the tail of two degrees of freedom
 def _(spark, d):
     k = X.kruskal_wallis(table(spark, d, "lineitem"), "l_quantity", "l_returnflag")
-    return k.select("n", "groups", F.round("h", 4).alias("h"))
+    return k.select("n", "groups", F.round("h", 4).alias("h"), F.round("p_value", 9).alias("p_value"))
 
 
 RQ = ", ".join(f"round(quantile_cont(v,{q}),6) AS {n}" for n, q in X.ROBUST_PROBS.items())
