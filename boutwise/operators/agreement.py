@@ -15,7 +15,6 @@ from ..functions.expressions import clip01, pairs, plogp
 from ..functions.ordering import join_nullsafe, quantiles
 from .assignment import best_assignment
 from .clustering import cluster_counts
-from .tiles import reduce_tiles, tile_count
 
 
 def contingency(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -220,34 +219,50 @@ def category_summary(profiles: DataFrame) -> DataFrame:
     return g.withColumn("median_n", mid.scalar())
 
 
-def self_consistency(df: DataFrame, unit: str, category: str, categories: Sequence, rows_per_tile: int = 4096, tiles: int | None = None) -> DataFrame:
-    """Share of units whose histogram, thinned by floor(10 %) of each count, lies nearest (L2) to the
-    unit's own full histogram among all units; smallest unit on ties."""
+def _l2(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+
+
+def unit_histograms(df: DataFrame, unit: str, category: str, categories: Sequence) -> DataFrame:
+    """(unit, h, q, r): shares of the categories, the shares thinned by floor(10 %) of each count, and their distance."""
     g = df.groupBy(unit).agg(F.array(*[F.count_if(F.col(category) == c) for c in categories]).alias("_c"))
     norm = lambda c: F.transform(c, lambda v: v / F.greatest(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, q: s + q), F.lit(1)))
     thin = F.transform("_c", lambda v: v - F.floor(v * F.lit(0.1)))
     both = g.select(unit, norm(F.col("_c")).alias("h"), thin.alias("_t")).select(unit, "h", norm(F.col("_t")).alias("q"))
-    tiles = tiles or tile_count(both, rows_per_tile)
-    kind = dict(both.dtypes)[unit]
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({unit: left[unit][:0], "found": left[unit][:0], "dist": []})
-        right = right.sort_values(unit)
-        q, h = np.stack(left["q"]), np.stack(right["h"])
-        best, at = np.full(len(q), np.inf), np.zeros(len(q), dtype=int)
-        for j, row in enumerate(h):
-            dist = np.sqrt(((q - row) ** 2).sum(axis=1))
-            closer = dist < best
-            best[closer], at[closer] = dist[closer], j
-        return pd.DataFrame({unit: left[unit], "found": right[unit].to_numpy()[at], "dist": best})
-
-    hits = reduce_tiles(both.select(unit, "q"), both.select(unit, "h"), unit, unit, tiles, nearest, f"{unit} {kind}, found {kind}, dist double")
-    winner = hits.groupBy(unit).agg(F.min(F.struct("dist", "found")).alias("_w"))
-    return winner.agg(
-        F.count(F.lit(1)).alias("units"), F.avg((F.col("_w.found") == F.col(unit)).cast("double")).alias("accuracy"),
-        (1.0 / F.count(F.lit(1))).alias("chance"),
-    )
+    return both.withColumn("r", _l2(F.col("q"), F.col("h")))
+
+
+def rivals(first: DataFrame, unit: str, categories: int) -> DataFrame:
+    """(unit, r, other, dist): for each thinned histogram the other histograms that its own distance can't exclude. Two points that lie within r differ by at most r in their
+    distances from any third, so those from a few corners of the simplex are cut into cells, and a unit meets only the cells that its r reaches. Rows of `first` have different h."""
+    width = first.where("r > 0").agg(F.percentile_approx("r", 0.95)).scalar()
+    corners = range(min(3, categories))
+
+    def away(v: Column, i: int) -> Column:
+        # distance from the corner at which category i has all
+        square = F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
+        return F.sqrt(F.greatest(square - 2 * v[i] + 1, F.lit(0.0)))
+
+    ask = first.where("r > 0").withColumn("_w", width)
+    for i in corners:
+        lo, hi = (F.floor((away(F.col("q"), i) + s * (F.col("r") + 1e-9)) / F.col("_w")) for s in (-1, 1))
+        ask = ask.withColumn(f"_p{i}", F.explode(F.sequence(lo, hi)))
+    at = first.withColumn("_w", width)
+    at = at.select(F.col(unit).alias("other"), F.col("h").alias("_h"), *[F.floor(away(F.col("h"), i) / F.col("_w")).alias(f"_p{i}") for i in corners])
+    met = ask.join(at, [f"_p{i}" for i in corners]).where(F.col("other") != F.col(unit))
+    return met.select(unit, "r", "other", _l2(F.col("q"), F.col("_h")).alias("dist"))
+
+
+def self_consistency(df: DataFrame, unit: str, category: str, categories: Sequence) -> DataFrame:
+    """Share of units whose histogram, thinned by floor(10 %) of each count, lies nearest (L2) to the unit's own full histogram among all units; smallest unit on ties. Units with equal
+    histograms are one point, of which only the smallest unit can be found; a unit at distance 0 needs no search."""
+    both = unit_histograms(df, unit, category, categories)
+    first = both.groupBy("h").agg(F.min_by(F.struct(unit, "q", "r"), unit).alias("_f")).select("h", "_f.*")
+    closer = (F.col("dist") < F.col("r")) | ((F.col("dist") == F.col("r")) & (F.col("other") < F.col(unit)))
+    beaten = rivals(first, unit, len(categories)).where(closer).select(unit).distinct()
+    found = first.agg(F.count("*")).scalar() - beaten.agg(F.count("*")).scalar()
+    n = F.count("*")
+    return both.agg(n.alias("units"), (found / n).alias("accuracy"), (1.0 / n).alias("chance"))
 
 
 def within(ct: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -39,17 +39,28 @@ def motifs(seq: DataFrame, keys: Sequence[str], label: str, length: int, positio
 
 
 def expected_frequency(motif_table: DataFrame, trans: DataFrame, start: DataFrame) -> DataFrame:
-    """Adds `expected`: start probability times the transition probabilities along the motif, 0 when a
-    step never occurs. The chain is a map of at most states squared entries in one subquery."""
-    step = trans.agg(F.map_from_entries(F.collect_list(F.struct(F.struct("prev", "next"), "p")))).scalar()
-    first = start.agg(F.map_from_entries(F.collect_list(F.struct("state", "p")))).scalar()
-    t = motif_table.withColumns({"_t": step, "_s": first})
+    """Adds `expected`: start probability times the transition probabilities along the motif, 0 when a step never occurs.
+
+    The motifs' prefixes form a trie, which is walked level by level: a prefix gets its probability once, from the prefix before it and one row of the transition
+    table, whatever the number of motifs that share it and of states. Each level is a join of distinct prefixes; motifs may differ in length."""
+    longest = motif_table.agg(F.max(F.size("motif"))).first()[0] or 0
     m = F.col("motif")
-    # row by row: the neighbours of position i
-    idx = F.sequence(F.lit(1), F.size(m) - 1)
-    probs = F.transform(idx, lambda i: F.coalesce(F.element_at(F.col("_t"), F.struct(F.element_at(m, i).alias("prev"), F.element_at(m, i + 1).alias("next"))), F.lit(0.0)))
-    steps = F.when(F.size(m) > 1, F.aggregate(probs, F.lit(1.0), lambda a, p: a * p)).otherwise(1.0)
-    return t.withColumn("expected", F.coalesce(F.element_at(F.col("_s"), F.element_at(m, 1)), F.lit(0.0)) * steps).drop("_t", "_s")
+    level = every = None
+    for n in range(1, longest + 1):
+        prefix = motif_table.where(F.size(m) >= n).select(F.slice(m, 1, n).alias("motif")).distinct()
+        last = F.element_at(m, n)
+        if n == 1:
+            first = join_nullsafe(prefix.select("motif", last.alias("state")), start.select("state", F.col("p").alias("_p")), ["state"], "left")
+            level = first.select("motif", F.coalesce("_p", F.lit(0.0)).alias("expected"))
+        else:
+            steps = prefix.select("motif", F.slice(m, 1, n - 1).alias("_parent"), F.element_at(m, n - 1).alias("prev"), last.alias("next"))
+            walked = steps.join(level.select(F.col("motif").alias("_parent"), "expected"), "_parent")
+            walked = join_nullsafe(walked, trans.select("prev", "next", F.col("p").alias("_p")), ["prev", "next"], "left")
+            level = walked.select("motif", (F.col("expected") * F.coalesce("_p", F.lit(0.0))).alias("expected"))
+        every = level if every is None else every.unionByName(level)
+    if every is None:
+        return motif_table.withColumn("expected", F.lit(0.0))
+    return motif_table.join(every, "motif", "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
 
 
 def _likelihood_ratio(f: Column, e: Column, n: Column) -> Column:

@@ -137,13 +137,28 @@ def test_silhouette_of_one_cluster(spark):
     assert C.silhouette(df, "id", "v", "c", tiles=1, fill=-1.0).first()["silhouette"] == -1.0
 
 
-def test_self_consistency_tiles(spark):
-    rng = np.random.default_rng(4)
-    rows = [(u, int(c)) for u in range(23) for c in rng.choice(4, size=40, p=rng.dirichlet(np.ones(4)))]
+@pytest.mark.parametrize("seed,units,top", [(1, 60, 4), (2, 200, 40), (3, 120, 15)])
+def test_self_consistency_against_all_pairs(spark, seed, units, top):
+    rng = np.random.default_rng(seed)
+    counts = rng.integers(0, top, (units, 4)) * np.where(rng.random((units, 1)) < 0.3, 7, 1)
+    counts[counts.sum(axis=1) == 0, 0] = 1
+    counts[5] = counts[2] * 2  # equal shares, another size
+    rows = [(u, c) for u in range(units) for c in range(4) for _ in range(int(counts[u, c]))]
     df = spark.createDataFrame(rows, "u long, c int")
-    one = G.self_consistency(df, "u", "c", [0, 1, 2, 3], tiles=1).first()
-    many = G.self_consistency(df, "u", "c", [0, 1, 2, 3], tiles=4).first()
-    assert one == many and one["units"] == 23 and one["accuracy"] > 0.5
+    h = counts / counts.sum(axis=1, keepdims=True)
+    thin = counts - np.floor(counts * 0.1)
+    q = thin / thin.sum(axis=1, keepdims=True)
+    d = np.sqrt(((q[:, None] - h[None]) ** 2).sum(axis=2))
+    got = G.self_consistency(df, "u", "c", [0, 1, 2, 3]).first()
+    assert got["units"] == units and abs(got["accuracy"] - (d.argmin(axis=1) == np.arange(units)).mean()) < 1e-12
+    both = G.unit_histograms(df, "u", "c", [0, 1, 2, 3])
+    first = both.dropDuplicates(["h"])
+    met = G.rivals(first, "u", 4)
+    near = {(r["u"], r["other"]) for r in met.collect()}
+    kept = [r["u"] for r in first.collect()]
+    assert {(a, b) for a in kept for b in kept if a != b and 0 < d[a, a] and d[a, b] <= d[a, a]} <= near
+    if top == 40:
+        assert met.count() < 0.2 * len(kept) ** 2
 
 
 def test_selection_score_literal(spark):
