@@ -99,14 +99,16 @@ def _counts(many: int):
 
 
 def _chosen(hashes):
-    """Rows with the chosen features they have."""
+    """Rows with the places of the features they have among the chosen ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = hashes.value
         for batch, first, h, row, n in _presences(batches, 1):
-            k = np.isin(h, keys)
+            code = np.searchsorted(keys, h)
+            k = code < len(keys)
+            k[k] = keys[code[k]] == h[k]
             at = np.concatenate(([0], np.cumsum(np.bincount(row[k], minlength=n)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(h[k].view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(code[k].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(c.slice(first, n) for i, c in enumerate(batch.columns) if i != 1), lists],
                                              [*(x for i, x in enumerate(batch.schema.names) if i != 1), "features"])
 
@@ -117,24 +119,37 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+PART = 1 << 20
+
+
+def _added(at: np.ndarray, values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+    """Sum of values[by] per place `at`, in parts so that no array of 64-bit numbers is as long as `at`."""
+    out = np.zeros(n)
+    for lo in range(0, len(at), PART):
+        out += np.bincount(at[lo:lo + PART], values[by[lo:lo + PART]], n)
+    return out
+
+
 class Linear:
-    """Logistic regression on sparse presences and dense probabilities, by Adam on the whole sample."""
+    """Logistic regression on sparse presences and dense probabilities, by Adam on the whole sample. A presence is the place of its feature in `keys` and its row."""
 
-    def __init__(self, hashes: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, l2: float, steps: int):
+    def __init__(self, keys: np.ndarray, code: np.ndarray, row: np.ndarray, dense: np.ndarray, y: np.ndarray, l2: float, steps: int):
         n, p = len(y), float(y.mean()) if len(y) else 0.0
         self.hashes, self.weights, self.dense = np.empty(0, np.uint64), np.empty(0), np.zeros(dense.shape[1])
         if p in (0.0, 1.0):
             self.bias = 60 * p - 30
             return
-        self.hashes, col = np.unique(hashes, return_inverse=True)
+        used = np.zeros(len(keys), bool)
+        used[code] = True
+        self.hashes, col = keys[used], (np.cumsum(used) - 1).astype(np.int32)[code]
         k = len(self.hashes)
         w = np.zeros(k + dense.shape[1] + 1)
         w[-1] = np.log(p / (1 - p))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
-            z = np.bincount(row, w[col], n) + dense @ w[k:-1] + w[-1]
+            z = _added(row, w, col, n) + dense @ w[k:-1] + w[-1]
             e = (_sigmoid(z) - y) / n
-            g = np.concatenate((np.bincount(col, e[row], k), e @ dense, [e.sum()]))
+            g = np.concatenate((_added(col, e, row, k), e @ dense, [e.sum()]))
             g[:-1] += l2 * w[:-1] / n
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-9)
@@ -151,18 +166,18 @@ class Linear:
 
 
 class Chain:
-    def __init__(self, categories: list[str], lists: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, wanted: list[np.ndarray], folds: int = FOLDS,
-                 l2: float = L2, steps: int = STEPS):
+    def __init__(self, categories: list[str], keys: np.ndarray, code: np.ndarray, row: np.ndarray, labels: np.ndarray, fold: np.ndarray, wanted: list[np.ndarray],
+                 folds: int = FOLDS, l2: float = L2, steps: int = STEPS):
+        """keys: the chosen features in order; code and row (32 bits): the presences in the sample."""
         self.categories, self.models = categories, []
-        n = len(lists)
-        every = np.concatenate(lists) if n else np.empty(0, np.uint64)
-        rows = np.repeat(np.arange(n), [len(x) for x in lists]) if n else np.empty(0, np.int64)
+        n = len(labels)
         dense = np.zeros((n, 0))
         for c in range(len(categories)):
             y = labels[:, c] if n else np.empty(0)
-            own = np.isin(every, wanted[c])
-            hashes, row = every[own], rows[own]
-            self.models.append(Linear(hashes, row, dense, y, l2, steps))
+            own = np.isin(keys, wanted[c])[code]
+            mine, at = code[own], row[own]
+            del own
+            self.models.append(Linear(keys, mine, at, dense, y, l2, steps))
             if c + 1 == len(categories):
                 break
             out = np.zeros(n)
@@ -170,11 +185,11 @@ class Chain:
                 train = fold != f
                 if train.all():
                     continue
-                number = np.cumsum(train) - 1
-                k = train[row]
-                model = Linear(hashes[k], number[row[k]], dense[train], y[train], l2, steps)
-                number = np.cumsum(~train) - 1
-                out[~train] = model.predict(hashes[~k], number[row[~k]], dense[~train])
+                number = (np.cumsum(train) - 1).astype(np.int32)
+                k = train[at]
+                model = Linear(keys, mine[k], number[at[k]], dense[train], y[train], l2, steps)
+                number = (np.cumsum(~train) - 1).astype(np.int32)
+                out[~train] = model.predict(keys[mine[~k]], number[at[~k]], dense[~train])
             dense = np.column_stack((dense, out))
         used = np.concatenate([m.hashes for m in self.models]) if self.models else np.empty(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
@@ -219,13 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
                     wanted[i] = np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))
     finally:
         counts.unpersist()
-    keys = context.broadcast(np.unique(np.concatenate(wanted)))
-    got = (rows.mapInArrow(_chosen(keys), f"__id {kind}, " + ", ".join(f"__y{i} int" for i in range(many)) + ", features array<long>")
-           .toPandas().sort_values("__id"))
-    lists = [np.asarray(x, np.int64).view(np.uint64) for x in got["features"]]
-    y = got[[f"__y{i}" for i in range(many)]].to_numpy(float)
-    fold = (mix(np.arange(len(lists), dtype=np.uint64)) % np.uint64(folds)).astype(np.int64)
-    return Chain(list(categories), lists, y, fold, wanted, folds, l2, steps)
+    keys = np.unique(np.concatenate(wanted))
+    got = (rows.mapInArrow(_chosen(context.broadcast(keys)), f"__id {kind}, " + ", ".join(f"__y{i} int" for i in range(many)) + ", features array<int>")
+           .toArrow().sort_by("__id").combine_chunks())
+    # flat 32-bit arrays from here on; the rows of the table are let go
+    y = np.column_stack([got.column(f"__y{i}").to_numpy().astype(float) for i in range(many)])
+    lists = got.column("features").combine_chunks()
+    code = lists.flatten().to_numpy().astype(np.int32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    del got, lists
+    fold = (mix(np.arange(len(y), dtype=np.uint64)) % np.uint64(folds)).astype(np.int64)
+    return Chain(list(categories), keys, code, row, y, fold, wanted, folds, l2, steps)
 
 
 def _score(told, suffix: str):
