@@ -1,24 +1,24 @@
 """Benchmark decontamination by SimHash windows, multi-index Hamming blocks and exact weighted-shingle similarity; DataFrame functions only.
 
-An item counts as contained in a text if a stretch of about the item's size there holds at least `threshold` of its 5-word shingles, weighted by how often the item has
-them. Such a stretch may have edits, but between them an intact run of words stays whose least length follows from the item's size (`intact_run`).
-The window size of an item is the largest power of two that, on a grid of half its size, must fit into that run. Texts have their windows on the
-grid, items have theirs at every offset, and each window's SimHash is the bitwise majority of its word hashes, so an intact window
-meets its twin at distance 0. Fingerprints within `radius` = 3 bits agree in one of four 16-bit blocks; pairs that share a block are kept if
-their distance is within the radius. Candidates are then verified on the words themselves.
-
-Defined results: null and empty texts, and null or empty items, match nothing; items of under five words match as their whole sequence; repeated rows give the same
-matches each; with several matches of an item in one text the most similar stretch counts (then the first); an empty table gives an empty
-result; extra columns are ignored; a null document id stays null in the result.
-
-Scale: texts are read twice without a shuffle; only hits of windows leave the first pass. The item index is broadcast only if its counted rows are few, else it
-joins by shuffle; so do the candidates on their way back to the texts.
+A text contains an item if it holds at least `threshold` of the item's 5-word shingles, weighted by how often the item has them, wherever they stand: whole, edited,
+interrupted or rearranged. An item of under five words has one shingle, its whole sequence, and so has such a text: they meet only as equals.
+
+Windows are as long as the item can be relied on to survive: one shingle, at every place of the text and of the item (a window of the whole item's length
+has no useful radius at this threshold, see the README). A window's SimHash is the bitwise majority of its word hashes. Fingerprints
+within `radius` = 3 bits agree in one of four 16-bit blocks; pairs that share a block are kept if their distance is within the radius. A shingle that text and item
+share has distance 0, so every one of them is found, and a text is a candidate for an item only if at least `threshold` of the item's places
+were met. Candidates are then verified on the shingles themselves.
+
+Defined results: null and empty texts, and null or empty items, match nothing; repeated rows of texts are one row of the result; an item id with several texts matches
+by the most similar; an empty table gives an empty result; extra columns are ignored; a null document id stays null in the result.
+
+Scale: texts are read twice without a shuffle; only met windows leave the first pass, counted per text, item and place before they are shuffled. A long text is cut
+into overlapping parts before its windows are listed, so no row holds all of them. The item index is broadcast only if its counted rows are
+few, else it joins by shuffle; so do the candidates on their way back to the texts.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,34 +27,7 @@ from .sqltext import SHINGLE, row_key, scratch, shingles, small, word_hashes, wo
 THRESHOLD = 0.8
 RADIUS = 3
 BLOCKS = 4
-WIDEST = 8
-TIE = 0x5851F42D4C957F2D  # decides bits on which half of a window's words agree
-
-
-def intact_run(n: int, threshold: float = THRESHOLD, k: int = SHINGLE) -> int:
-    """The least length of the longest unedited run of an n-word item of which `threshold` of the shingles are left. An edit inside costs at least
-    k - 1 shingles, and words cut at the ends one each."""
-    if n < k:
-        return n
-    lost = (n - k + 1) - math.ceil(threshold * (n - k + 1) - 1e-9)
-    return min(-(-(n - lost + (k - 1) * e) // (e + 1)) for e in range(lost // (k - 1) + 1))
-
-
-def window_words(n: int, threshold: float = THRESHOLD) -> int:
-    """The item's window: the largest power of two up to WIDEST which, on a grid of half its size, always has a place in the intact run."""
-    w = WIDEST
-    while w > 1 and w + max(1, w // 2) - 1 > intact_run(n, threshold):
-        w //= 2
-    return w
-
-
-def _window_size(n: Column, threshold: float) -> Column:
-    # sizes are settled by n up to the first length from which the widest always fits
-    top = next(m for m in range(1, 10_000) if all(window_words(x, threshold) == WIDEST for x in range(m, m + 400)))
-    out = F.lit(WIDEST)
-    for m in range(1, top):
-        out = F.when(n == m, window_words(m, threshold)).otherwise(out)
-    return out
+PART = 2_048  # windows a part of a text
 
 
 def _adder(df: DataFrame, planes: list[str], tag: str) -> tuple[DataFrame, list[str], list[str]]:
@@ -71,15 +44,15 @@ def _adder(df: DataFrame, planes: list[str], tag: str) -> tuple[DataFrame, list[
     return df.withColumns(add), sums + rest, carries
 
 
-def simhash(df: DataFrame, window: str, size: int, name: str = "fp") -> DataFrame:
-    """The bitwise majority of an array of `size` hashes (and of a fixed word, for an odd number), by carry-save addition of whole 64-bit words."""
-    keep = [c for c in df.columns if c != window]
-    if size == 1:
-        return df.select(*keep, F.coalesce(F.col(window)[0], F.lit(0).cast("long")).alias(name))
-    level = [f"p{i}" for i in range(size + 1)]
+def simhash(df: DataFrame, planes: list[str], name: str = "fp") -> DataFrame:
+    """The bitwise majority of an odd number of hash columns, by carry-save addition of whole 64-bit words."""
+    if len(planes) % 2 == 0:
+        raise ValueError("an even number of hashes has no majority on a tie")
+    keep = [c for c in df.columns if c not in planes]
+    half = len(planes) // 2
+    level, bits, step = list(planes), [], 0
     # coalesced, as the optimiser would else test the whole majority for null below the join
-    df = df.withColumns({c: F.coalesce(F.col(window)[i], F.lit(0).cast("long")) if i < size else F.lit(TIE) for i, c in enumerate(level)})
-    bits, step = [], 0
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in planes})
     while level:
         above = []
         while len(level) > 1:
@@ -93,8 +66,8 @@ def simhash(df: DataFrame, window: str, size: int, name: str = "fp") -> DataFram
             step += 1
         bits.append(level[0])
         level = above
-    # the number of set bits, lowest place first, is above half = size / 2 of the size + 1 words
-    half, more = size // 2, F.lit(0).cast("long")
+    # the number of set bits, lowest place first, is above half
+    more = F.lit(0).cast("long")
     for i, c in enumerate(bits):
         more = F.col(c).bitwiseAND(more) if half >> i & 1 else F.col(c).bitwiseOR(more)
     return df.select(*keep, more.alias(name))
@@ -106,57 +79,57 @@ def _banded(df: DataFrame) -> DataFrame:
         F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("long")) + F.lit(i << 16).cast("long") for i in range(BLOCKS)))))
 
 
-def _windows(df: DataFrame, hashes: str, size: int, step: int) -> DataFrame:
-    """One row per window, with its first word's place `at` from 1."""
+def _fingerprints(df: DataFrame, hashes: str, k: int = SHINGLE) -> DataFrame:
+    """One row per k-word window, with its first word's place `at` from 1 and its SimHash `fp`. A shorter list is one window, of its whole sequence."""
     n = F.size(hashes)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
-    each = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(F.col(hashes), i, size).alias("w")))
     rest = [c for c in df.columns if c != hashes]
-    return df.select(*rest, F.explode(each).alias("x")).select(*rest, F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    none = F.expr("cast(array() as array<int>)")
+    parts = F.transform(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)), F.lit(PART))).otherwise(none),
+                        lambda i: F.struct(i.alias("base"), F.slice(F.col(hashes), i + 1, PART + k - 1).alias("p")))
+    df = df.select(*rest, F.explode(parts).alias("x")).select(*rest, F.col("x.base").alias("base"), F.col("x.p").alias("p"))
+    size = F.size("p")
+    planes = [f"p{j}" for j in range(k)]
+    each = F.when(size >= k, F.transform(F.sequence(F.lit(0), size - k), lambda i: F.struct(i.alias("i"), *(F.get("p", i + j).alias(c) for j, c in enumerate(planes)))))
+    each = each.otherwise(F.array(F.struct(F.lit(0).alias("i"), *(F.xxhash64("p").alias(c) for c in planes))))
+    df = df.select(*rest, "base", F.explode(each).alias("x"))
+    return simhash(df.select(*rest, (F.col("base") + F.col("x.i") + 1).alias("at"), *(F.col(f"x.{c}").alias(c) for c in planes)), planes)
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
             threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """One row per text row and contained item: row_key, the id, the item, similarity, and the stretch's first word (from 1)."""
+    """One row per text row and contained item: row_key, the id, the item, similarity, and the first words (from 1) of the text's first and last window
+    that meet one of the item's."""
     if radius >= BLOCKS:
         raise ValueError("the blocks guarantee a radius below their number")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rkey", row_key(F.col("id"), F.col("text")))
     items = (items.select(F.col(item_col).alias("item"), word_hashes(words(F.col(item_text_col))).alias("iw")).where(F.size("iw") > 0)
-             .withColumn("size", _window_size(F.size("iw"), threshold)))
-    hits = None
-    for size in sorted(r[0] for r in items.select("size").distinct().collect()):
-        step = max(1, size // 2)
-        index = simhash(_windows(items.where(F.col("size") == size).select("item", "iw"), "iw", size, 1), "w", size)
-        index = _banded(index.withColumnsRenamed({"at": "offset"})).select("block", F.col("fp").alias("ifp"), "item", "offset")
-        found = simhash(_windows(docs.select("rkey", word_hashes(words(F.col("text"))).alias("dw")), "dw", size, step), "w", size)
-        found = (_banded(found).join(small(index), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-                 .select("rkey", "item", (F.col("at") - F.col("offset") + 1).alias("begin")))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = docs.sparkSession.createDataFrame([], f"rkey long, item {items.schema['item'].dataType.simpleString()}, begin int")
-    hits = scratch(hits.distinct())
-    return verified(docs, hits, items, threshold)
-
-
-def verified(docs: DataFrame, hits: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """Keeps hits whose stretch holds enough of the item: sum of min(weight in item, weight in stretch) over the item's weights."""
-    items = items.select("item", F.size("iw").alias("n"), shingles(F.col("iw")).alias("ish"))
-    known = hits.join(small(items), "item")
-    back = docs.join(small(known.select("rkey").distinct()), "rkey", "left_semi").select("rkey", "id", word_hashes(words(F.col("text"))).alias("dw"))
-    slack = F.ceil(F.col("n") / 4).cast("int") + SHINGLE
-    first = F.greatest(F.lit(1), F.col("begin") - slack)
-    stretch = F.slice("dw", first, F.greatest(F.lit(0), F.col("begin") + F.col("n") + slack - first))
-    held = F.aggregate(
-        F.array_distinct("ish"), F.lit(0),
-        lambda acc, s: acc + F.least(F.size(F.filter("ish", lambda y: y == s)), F.size(F.filter("dsh", lambda y: y == s))))
-    # a short item is its whole sequence, so it's met by shingles of its own length
-    short = F.transform(F.sequence(F.lit(1), F.greatest(F.size("part") - F.col("n") + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("part", i, F.col("n"))))
-    # exploding a one-element array keeps the optimiser from working the array out again for each element of the next expression
+             .select(F.xxhash64("item", "iw").alias("ikey"), "item", "iw").distinct())
+    # an item's places that a text must meet; a repeated shingle counts at each of them, so this is never above what the exact test asks
+    places = F.greatest(F.size("iw") - SHINGLE + 1, F.lit(1))
+    marks = items.select("ikey", F.ceil(places * threshold - 1e-9).cast("int").alias("need"), "iw")
+    index = _banded(_fingerprints(marks, "iw")).select("block", F.col("fp").alias("ifp"), "ikey", "need", F.col("at").alias("place"))
+    found = _banded(_fingerprints(docs.select("rkey", word_hashes(words(F.col("text"))).alias("dw")), "dw")).join(small(index), "block")
+    found = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
+    met = found.groupBy("rkey", "ikey", "need", "place").agg(F.min("at").alias("begin"), F.max("at").alias("last"))
+    met = met.groupBy("rkey", "ikey", "need").agg(F.count("*").alias("met"), F.min("begin").alias("begin"), F.max("last").alias("last"))
+    return verified(docs, scratch(met.where(F.col("met") >= F.col("need")).drop("met", "need")), items, threshold)
+
+
+def verified(docs: DataFrame, candidates: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Keeps candidates whose text holds enough of the item: sum of min(count in item, count in text) over the item's shingles."""
+    items = items.select("ikey", "item", shingles(F.col("iw")).alias("ish"))
+    # exploding a one-element array keeps the optimiser from working the array out again for each use
     once = lambda c: F.explode(F.array(c))
-    return (back.join(known, "rkey").withColumn("part", once(stretch)).withColumn("dsh", once(F.when(F.col("n") < SHINGLE, short).otherwise(shingles(F.col("part")))))
-            .withColumn("similarity", held / F.size("ish")).where(F.col("similarity") >= threshold - 1e-9)
-            .groupBy("rkey", "id", "item").agg(F.max_by(F.struct("similarity", (-F.col("begin")).alias("b")), F.struct("similarity", (-F.col("begin")).alias("b"))).alias("m"))
-            .select(F.col("rkey").alias("row_key"), F.col("id"), F.col("item"), F.col("m.similarity").alias("similarity"), (-F.col("m.b")).alias("begin")))
+    back = docs.join(small(candidates.select("rkey").distinct()), "rkey", "left_semi").select("rkey", "id", once(word_hashes(words(F.col("text")))).alias("dw"))
+    back = back.select("rkey", "id", once(shingles(F.col("dw"))).alias("dsh"))
+    kinds = F.array_distinct("ish")
+    both = F.array_intersect("ish", "dsh")
+    repeated = F.aggregate(
+        both, F.lit(0), lambda acc, s: acc + F.least(F.size(F.filter("ish", lambda y: y == s)), F.size(F.filter("dsh", lambda y: y == s))))
+    held = F.when(F.size(kinds) == F.size("ish"), F.size(both)).otherwise(repeated)
+    return (back.join(candidates.join(small(items), "ikey"), "rkey").withColumn("similarity", held / F.size("ish")).where(F.col("similarity") >= threshold - 1e-9)
+            .groupBy("rkey", "id", "item").agg(F.max("similarity").alias("similarity"), F.min("begin").alias("begin"), F.max("last").alias("last"))
+            .select(F.col("rkey").alias("row_key"), "id", "item", "similarity", "begin", "last"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -143,9 +143,8 @@ def test_decontamination_against_brute_force(spark, docs, none):
     for i, t in rows:
         w = words(t)
         for k, item in items[:10]:
-            iw = words(item)
-            n = min(5, len(iw))
-            a, b = (Counter(tuple(x[j:j + n]) for j in range(len(x) - n + 1)) for x in (iw, w))
+            # a text or item of under five words has its whole sequence as its one shingle
+            a, b = (Counter(tuple(x[j:j + 5]) for j in range(max(1, len(x) - 4))) for x in (words(item), w))
             c = sum(min(m, b[s]) for s, m in a.items()) / sum(a.values())
             if c >= 0.8:
                 want[(i, k)] = c
@@ -155,6 +154,34 @@ def test_decontamination_against_brute_force(spark, docs, none):
     assert decontamination.matches(none, bench).count() == 0 and decontamination.matches(d, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_interrupted_short_long_and_repeated(spark):
+    g = np.random.default_rng(5)
+    voc = [f"v{i}" for i in range(3000)]
+    fill = lambda n: " ".join(g.choice(voc, n))
+    a, b = g.choice(voc, 40), g.choice(voc, 60)
+    item, other = " ".join(a), " ".join(b)
+    pieces = " ".join(" ".join([*b[i:i + 7], f"x{i}"]) for i in range(0, 54, 3))
+    again = "one two three four five one two three four five one two three four five six"
+    items = [(1, item), (2, other), (3, "just three words"), (4, again), (5, again), (1, item), (6, None)]
+    rows = [
+        (1, " ".join([*a[:20], fill(25), *a[20:]])), (2, " ".join([fill(9), pieces, fill(9)])), (3, "so just three words stand here"), (4, "Just  three	words"),
+        (5, fill(9_000) + " " + item.upper() + " " + fill(9_000)), (6, again), (6, again), (7, "one two three four five six"), (8, " ".join([*a[20:], *a[:20]])),
+        (9, " ".join(a[:30])), (10, None), (None, item), (11, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1)).withColumn("rkey", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("block", F.lit(0))
+    got = {(r["id"], r["item"]): round(r["similarity"], 6) for r in decontamination.matches(d, bench).collect()}
+    want = {}
+    for i, t in rows:
+        for k, x in items:
+            s, p = (Counter(tuple(y[j:j + 5]) for j in range(max(1, len(y) - 4))) if y else Counter() for y in (words(x), words(t)))
+            c = sum(min(m, p[z]) for z, m in s.items())
+            if c and c >= 0.8 * sum(s.values()):
+                want[(i, k)] = round(c / sum(s.values()), 6)
+    assert got == want and {(1, 1), (2, 2), (4, 3), (5, 1), (8, 1), (None, 1), (6, 4), (6, 5)} <= got.keys() and not {(3, 3), (7, 4), (9, 1)} & got.keys()
+    assert decontamination.matches(d, bench).count() == len(want)
+    assert sorted(str(r["doc_id"]) for r in decontamination.clean(d, bench).collect()) == ["10", "11", "3", "7", "9"]
+
+
 # ---- extraction
 
 def test_extraction_of_an_unlabelled_layout(spark):
