@@ -5,10 +5,10 @@ shorter. A MinHash is the least of the window's shingle hashes after an exclusiv
 band is one MinHash. For a Jaccard similarity j, two windows share a band with probability 1 - (1 - j) ** BANDS. A whole template of three or
 four shingles lies inside some window, so j >= 3 / 8; a longer one, edited up to the threshold, has a window with j >= 5 / 11: at least
 0.9994 of them are retrieved. Templates of one or two shingles have windows of one shingle, which a band finds always. Hits are
-verified by exact containment of the template's distinct shingles in the stretch of the text around the hit.
+verified by exact containment of the template's distinct shingles in the whole text, so interrupted and rearranged templates count too.
 
-Defined results: null and empty texts or templates match nothing; templates of under five words are left out, as they have no full shingle; repeated rows give the same
-matches each; of several stretches with one template in a text the best counts (then the first); an empty table gives an empty result.
+Defined results: null and empty texts or templates match nothing; templates of under five words are left out, as they have no full shingle; repeated rows are one
+row of the result; several copies of a template in a text are one match, told with where the first would begin; an empty table gives an empty result.
 
 Scale: texts are read twice without a shuffle; only hits leave the first pass. The template index is broadcast only if its counted rows are few.
 """
@@ -83,7 +83,7 @@ def _banded(df: DataFrame, size: int) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", license_col: str = "license_id", license_text_col: str = "text",
          threshold: float = THRESHOLD) -> DataFrame:
-    """One row per text row and license: row_key, id, license, containment, and the first word (from 1) of the stretch that was compared."""
+    """One row per text row and license: row_key, id, license, containment, and the first word (from 1) where the earliest hit would have the license begin."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rkey", row_key(F.col("id"), F.col("text")))
     marks = known.select(F.col(license_col).alias("license"), word_hashes(words(F.col(license_text_col))).alias("lw")).where(F.size("lw") >= SHINGLE)
     marks = marks.select("license", shingles(F.col("lw")).alias("lsh"))
@@ -100,15 +100,12 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], f"rkey long, license {marks.schema['license'].dataType.simpleString()}, begin int")
-    hits = scratch(hits.distinct())
+    # where a license begins by its first hit is told, but its shingles may stand anywhere in the text
+    hits = scratch(hits.groupBy("rkey", "license").agg(F.min("begin").alias("begin")))
     once = lambda c: F.explode(F.array(c))  # noqa: E731  kept from being worked out again in the next expression
     back = docs.join(small(hits.select("rkey").distinct()), "rkey", "left_semi").select("rkey", "id", once(word_hashes(words(F.col("text")))).alias("dw"))
     back = back.select("rkey", "id", once(shingles(F.col("dw"))).alias("dsh"))
-    slack = WINDOW + F.ceil(F.size("lsh") / 4).cast("int")
-    first = F.greatest(F.lit(1), F.col("begin") - slack)
-    part = F.slice("dsh", first, F.greatest(F.lit(0), F.col("begin") + F.size("lsh") + slack - first))
-    both = back.join(hits.join(small(marks), "license"), "rkey").withColumn("part", once(part))
-    share = F.size(F.array_intersect("lsh", "part")) / F.size(F.array_distinct("lsh"))
-    best = F.struct("containment", (-F.col("begin")).alias("b"))
-    return (both.withColumn("containment", share).where(F.col("containment") >= threshold - 1e-9).groupBy("rkey", "id", "license").agg(F.max(best).alias("m"))
-            .select(F.col("rkey").alias("row_key"), "id", "license", F.col("m.containment").alias("containment"), (-F.col("m.b")).alias("begin")))
+    both = back.join(hits.join(small(marks), "license"), "rkey")
+    share = F.size(F.array_intersect("lsh", "dsh")) / F.size(F.array_distinct("lsh"))
+    return (both.withColumn("containment", share).where(F.col("containment") >= threshold - 1e-9).groupBy("rkey", "id", "license")
+            .agg(F.max("containment").alias("containment"), F.min("begin").alias("begin")).select(F.col("rkey").alias("row_key"), "id", "license", "containment", "begin"))

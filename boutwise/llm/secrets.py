@@ -73,7 +73,11 @@ def candidates(text: str, spans: list) -> list[tuple[int, int, str]]:
         a, b = m.span()
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if not any(s[0] < b and s[1] > a for s in spans[k:]):
+        j = k
+        while j < len(spans) and spans[j][0] < b and spans[j][1] <= a:
+            j += 1
+        # spans come by start, so none after the first that begins behind the run can meet it
+        if j == len(spans) or spans[j][0] >= b:
             out.append((a, b, v))
     return out
 

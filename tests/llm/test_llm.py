@@ -124,6 +124,29 @@ def test_licenses_against_containment(spark, none):
     assert licenses.scan(none, known).count() == 0
 
 
+def test_licenses_interrupted_long_and_repeated(spark):
+    w = licenses.TEMPLATES["MIT-text"].split()
+    fill = lambda n, k: " ".join(f"{k}{i}" for i in range(n))
+    rows = [
+        (1, " ".join([*w[:30], fill(400, "a"), *w[30:]])), (2, fill(9_000, "b") + " " + " ".join(w).upper() + " " + fill(9_000, "c")), (2, None),
+        (3, " ".join(w[: len(w) // 2])), (4, " ".join([*w[25:], *w[:25]])), (5, " ".join(w)), (5, " ".join(w)), (None, " ".join([*w, *w]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("x")).withColumn("band", F.lit(0))
+    got = sorted((r["id"] or 0, r["license"], round(r["containment"], 6)) for r in licenses.scan(d, licenses.templates(spark)).collect())
+    want, s = [], shingles(" ".join(w))
+    for i, t in dict.fromkeys(rows):
+        c = len(s & shingles(t)) / len(s)
+        want += [(i or 0, "MIT-text", round(c, 6))] * (c >= 0.8)
+    assert got == sorted(want) and len(got) == 5
+
+
+def test_secrets_candidates_beside_many_base_spans():
+    text = " ".join(f"token=abcdefgh{i} Zq{i}Zq{i}Zq{i}Zq{i}xK77" for i in range(300))
+    base = secrets.base_spans(text)
+    want = [(m.start(), m.end(), m[0]) for m in secrets.CANDIDATE.finditer(text)
+            if secrets._DIGIT.search(m[0]) and secrets._LETTER.search(m[0]) and not any(s[0] < m.end() and s[1] > m.start() for s in base)]
+    assert secrets.candidates(text, base) == want and want
+
+
 def test_decontamination_against_brute_force(spark, docs, none):
     g = np.random.default_rng(3)
     voc = [f"v{i}" for i in range(3000)]
