@@ -44,7 +44,8 @@ TEMPLATES = {
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEMPLATES.items()), "license_id string, text string")
+    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in TEMPLATES.items()))
+    return spark.range(1).select(F.inline(rows))
 
 
 def _masks() -> list[int]:
