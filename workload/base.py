@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from boutwise.functions import hashing as H
 from boutwise.operators import clustering as C
+from boutwise.operators import longpaths as LP
 from boutwise.operators import sampling as S
 from boutwise.sources import bouts as B
 
@@ -177,6 +178,24 @@ def order_paths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def order_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as samples: x, y and heading next to the columns of the line order."""
+    li = table(spark, d, "lineitem").select("l_orderkey", *LINE_ORDER)
+    return li.select(
+        "l_orderkey", *LINE_ORDER, F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"), (F.col("l_discount") * 60.0).alias("heading"),
+    )
+
+
+def order_segments(spark: SparkSession, d: str, fields: list[str], length: int = LP.SEGMENT) -> DataFrame:
+    """Orders as recordings of any length, in segments."""
+    return LP.segments(order_samples(spark, d), "l_orderkey", LINE_ORDER, line_slot(), fields, length)
+
+
+def body_angle() -> Column:
+    """Body axis of a line in degrees; its tail point is (y/2 - 3, x/2 - 3)."""
+    return F.degrees(F.atan2(F.col("y") - (F.col("x") * 0.5 - 3.0), F.col("x") - (F.col("y") * 0.5 - 3.0)))
+
+
 LINES = """
 lines AS (SELECT l_orderkey, 0::BIGINT AS bout_index, rn AS i, x, y, heading, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (
   SELECT l_orderkey, l_quantity AS x, l_extendedprice/1000.0 AS y, l_discount*60.0 AS heading,

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from boutwise.functions import arrays as A
 from boutwise.operators import features as FE
+from boutwise.operators import longpaths as LP
 
-from .base import BOUTS, CORE, LINES, SAMPLES, bouts, order_paths, query, r6, rounded
+from .base import BOUTS, CORE, LINE_ORDER, LINES, SAMPLES, body_angle, bouts, order_samples, order_segments, query, r6, rounded
 
 IDS = ["fish_id", "bout_index"]
 
@@ -94,26 +95,38 @@ def _(spark, d):
     return rounded(FE.variable_features(bouts(spark, d)).select(*IDS, "turn_total_abs", "turn_abs_mean", "turn_max", "turn_rms"))
 
 
+# an order is one recording of any length
+ORDER_IDS = ["l_orderkey", "0L AS bout_index"]
+
+
+# discounts are hundredths up to .1, so no step here is half a turn and every column can be compared
+@query("feat_07_long_turning", f"""WITH {LINES}, d AS (SELECT l_orderkey, heading-lag(heading) OVER (PARTITION BY l_orderkey ORDER BY i) AS h FROM lines), u AS (SELECT l_orderkey, atan2(sin(h), cos(h)) AS u FROM d)
+SELECT l_orderkey, {', '.join(f'round({e},6)+0.0::DOUBLE AS {n}' for n, e in TURN_B.items())} FROM u GROUP BY l_orderkey""")
+def _(spark, d):
+    return rounded(LP.turning_features(order_segments(spark, d, ["heading"]), "l_orderkey"))
+
+
 @query("feat_08_path_features", f"""WITH {LINES} SELECT l_orderkey, bout_index,
 round(sqrt(pow(arg_max(x,i)-arg_min(x,i),2)+pow(arg_max(y,i)-arg_min(y,i),2)),6) AS head_net_displacement,
 round(sum(step),6) AS head_path_length, round(avg(step),6) AS head_mean_step, round(max(step),6) AS head_max_step
 FROM moves GROUP BY l_orderkey, bout_index""")
 def _(spark, d):
-    return rounded(FE.path_features(order_paths(spark, d), ["l_orderkey", "bout_index"]))
+    found = LP.path_features(order_segments(spark, d, ["x", "y"]), "l_orderkey")
+    return rounded(found.selectExpr(*ORDER_IDS, *FE.PATH_FEATURES))
 
 
 @query("feat_09_pointwise_speed", f"""WITH {LINES}, s AS (SELECT l_orderkey, bout_index, i-1 AS pos,
   CASE WHEN n=1 THEN 0.0::DOUBLE WHEN i=1 THEN lead(step) OVER (PARTITION BY l_orderkey, bout_index ORDER BY i) ELSE step END * (0.071*160.0)::DOUBLE AS v FROM moves)
 SELECT l_orderkey, bout_index, pos, round(v,6) AS v FROM s""")
 def _(spark, d):
-    p = order_paths(spark, d).select("l_orderkey", "bout_index", FE.pointwise_speed(F.col("x"), F.col("y")).alias("v"))
-    return rounded(p.select("l_orderkey", "bout_index", F.posexplode("v").alias("pos", "v")))
+    found = LP.pointwise_speed(order_segments(spark, d, ["x", "y"]), "l_orderkey", FE.SET2_MM_PER_PX * FE.SET2_FPS)
+    return rounded(found.selectExpr(*ORDER_IDS, "pos", "v"))
 
 
 @query("feat_10_path_distance", f"""WITH {LINES} SELECT l_orderkey, bout_index, round(coalesce(sum(step),0)*0.071::DOUBLE,6) AS distance_mm FROM moves GROUP BY l_orderkey, bout_index""")
 def _(spark, d):
-    p = order_paths(spark, d)
-    return p.select("l_orderkey", "bout_index", r6(FE.path_distance(F.col("x"), F.col("y"), FE.SET2_MM_PER_PX)).alias("distance_mm"))
+    found = LP.path_distance(order_segments(spark, d, ["x", "y"]), "l_orderkey", FE.SET2_MM_PER_PX)
+    return rounded(found.selectExpr(*ORDER_IDS, "distance AS distance_mm"))
 
 
 @query("feat_11_heading_change", f"""WITH {LINES}, t AS (SELECT l_orderkey, bout_index,
@@ -121,12 +134,8 @@ def _(spark, d):
  u AS (SELECT l_orderkey, bout_index, -(s1-s0) AS a FROM t)
 SELECT l_orderkey, bout_index, round(CASE WHEN a>180 THEN 360-a WHEN a<-180 THEN -(360+a) ELSE a END,6)+0.0::DOUBLE AS delta_deg FROM u""")
 def _(spark, d):
-    # ten tail points per frame; the sixth from the end is point 4, at offset 3
-    p = order_paths(spark, d)
-    pts = F.sequence(F.lit(7), F.lit(-2), F.lit(-1))
-    tail = lambda a: F.transform(a, lambda v: F.transform(pts, lambda j: v * 0.5 - j))
-    out = FE.heading_change_deg(F.col("x"), F.col("y"), tail(F.col("y")), tail(F.col("x")))
-    return p.select("l_orderkey", "bout_index", r6(out).alias("delta_deg"))
+    found = LP.axis_change(order_samples(spark, d), "l_orderkey", LINE_ORDER, body_angle())
+    return rounded(found.selectExpr(*ORDER_IDS, "delta_deg"))
 
 
 @query("feat_12_resample", f"""WITH {LINES}, g AS (SELECT unnest(range(25)) AS j),
@@ -135,8 +144,8 @@ q AS (SELECT l_orderkey, bout_index, j, j*(n-1)/24.0::DOUBLE AS pos, least(floor
 SELECT q.l_orderkey, q.bout_index, q.j, round(a.x+(b.x-a.x)*(q.pos-q.lo),6) AS v FROM q
 JOIN lines a ON a.l_orderkey=q.l_orderkey AND a.bout_index=q.bout_index AND a.i=q.lo+1 JOIN lines b ON b.l_orderkey=q.l_orderkey AND b.bout_index=q.bout_index AND b.i=q.lo+2""")
 def _(spark, d):
-    p = order_paths(spark, d).select("l_orderkey", "bout_index", A.resample(F.col("x"), 25).alias("v"))
-    return rounded(p.select("l_orderkey", "bout_index", F.posexplode("v").alias("j", "v")))
+    found = LP.resample(order_segments(spark, d, ["x"]), "l_orderkey", "x", 25)
+    return rounded(found.selectExpr(*ORDER_IDS, "j", "v"))
 
 
 @query("feat_13_model_input", f"""WITH {SAMPLES} SELECT fish_id, bout_index, pos, round(sin(heading)::FLOAT::DOUBLE,5)+0.0::DOUBLE AS s,

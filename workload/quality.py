@@ -7,6 +7,7 @@ from boutwise.operators import blinding as BL
 from boutwise.operators import decisions as D
 from boutwise.operators import effects as X
 from boutwise.operators import features as FE
+from boutwise.operators import longpaths as LP
 from boutwise.operators import quality as Q
 from boutwise.operators import sampling as S
 from boutwise.sources import bouts as B
@@ -15,7 +16,7 @@ from boutwise.streaming.incremental import scratch
 
 from .agreement import PAIRG, SEEDG, wide_labels
 from .base import (
-    BOUTS, CORE, EMB, FISH, LAB, LINE_ORDER, LINES, SAMPLES, SEEDS, bouts, embeddings, fish, labelings, order_paths, query, rounded, split, table,
+    BOUTS, CORE, EMB, FISH, LAB, LINE_ORDER, LINES, SAMPLES, SEEDS, body_angle, bouts, embeddings, fish, labelings, order_paths, order_samples, order_segments, query, rounded, split, table,
 )
 from .features import IDS
 
@@ -137,11 +138,10 @@ r AS (SELECT l_orderkey, bout_index, list_filter([CASE WHEN t<0.04 THEN 'time_to
 
 
 def measured(spark, d):
-    p = order_paths(spark, d)
-    pts = F.sequence(F.lit(7), F.lit(-2), F.lit(-1))
-    tail = lambda a: F.transform(a, lambda v: F.transform(pts, lambda j: v * 0.5 - j))
-    b = p.select("l_orderkey", "bout_index", "x", "y", tail(F.col("y")).alias("tail_x"), tail(F.col("x")).alias("tail_y"))
-    return Q.accept(Q.measure_bouts(b, 20.0, 0.071 * 3.0), "duration_s", "distance", "heading_change")
+    change = LP.axis_change(order_samples(spark, d), "l_orderkey", LINE_ORDER, body_angle())
+    m = LP.measured(order_segments(spark, d, ["x", "y"]), change, "l_orderkey", 20.0, 0.071 * 3.0)
+    b = m.select("l_orderkey", F.lit(0).cast("bigint").alias("bout_index"), "duration_s", "distance", "heading_change")
+    return Q.accept(b, "duration_s", "distance", "heading_change")
 
 
 @query("qc_2_accept", f"WITH {ACCEPT} SELECT l_orderkey, bout_index, array_to_string(reasons, ',') AS reasons, len(reasons)=0 AS accepted FROM r")
