@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from .agreement import contingency
 from .linear import column_means, gram, vector_of
 from .sampling import class_holdout, subsample
@@ -89,20 +90,19 @@ def logistic_probe(
     return _answers(model, rows, names)
 
 
-def nonlinear_probe(
-    train: DataFrame, held: DataFrame, features: Sequence[str], label: str, method: str = "boosted", trees: int = 20, depth: int = 4, seed: int = 0,
-    rate: float = 0.1, min_leaf: int = 1, subsampling: float = 1.0,
+def boosted_probe(train: DataFrame, held: DataFrame, features: Sequence[str], label: str, **settings) -> DataFrame:
+    """Boosted trees over all classes at once (settings as in `boosting.fit`; the defaults are the study's): (truth, pred) of the held-out rows."""
+    model = boosting.fit(train, features, label, **settings)
+    rows = held.select(F.col(label).cast("string").alias("truth"), *[F.col(f) for f in features if f != "truth"])
+    return boosting.predict(rows, model, ["truth"])
+
+
+def forest_probe(
+    train: DataFrame, held: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 4, seed: int = 0, min_leaf: int = 1,
 ) -> DataFrame:
-    """Tree probe: one boosted model per class (learning rate, least rows in a leaf, share of rows a round), or a
-    random forest: (truth, pred)."""
+    """Random forest, the cheaper tree probe: (truth, pred)."""
     base, data, rows, names = _prepare(train, held, features, label, False, True)
-    if method == "boosted":
-        tree = GBTClassifier(
-            featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, stepSize=rate, minInstancesPerNode=min_leaf, subsamplingRate=subsampling
-        )
-        model = OneVsRest(classifier=tree, featuresCol="_x", labelCol="_y").fit(data)
-    else:
-        model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=min_leaf).fit(data)
+    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=min_leaf).fit(data)
     base.unpersist()
     return _answers(model, rows, names)
 

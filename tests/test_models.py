@@ -105,7 +105,7 @@ def test_probes_find_planted_signal(spark, blobs):
     df, _ = blobs
     f = df.select("id", "truth", *[F.col("v")[i].alias(f"x{i}") for i in range(3)])
     a, b = f.where("id % 4 > 0"), f.where("id % 4 = 0")
-    for pred in (P.logistic_probe(a, b, ["x0", "x1"], "truth", max_iter=20), P.nonlinear_probe(a, b, ["x0", "x1"], "truth", "forest", trees=5)):
+    for pred in (P.logistic_probe(a, b, ["x0", "x1"], "truth", max_iter=20), P.forest_probe(a, b, ["x0", "x1"], "truth", trees=5)):
         assert P.classification_scores(pred).first()["balanced_accuracy"] > 0.99
     noise = P.classification_scores(P.logistic_probe(a, b, ["x2"], "truth", max_iter=20)).first()
     assert noise["balanced_accuracy"] < 0.7

@@ -545,6 +545,16 @@ def parts(spark, d):
     return c.where(F.col("partition") == "train"), c.where(F.col("partition") == "validation")
 
 
+ALL_COORDS = [f"e{i + 1}" for i in range(64)]
+
+
+def all_parts(spark, d):
+    """All 64 coordinates and the frozen labels of the first seed; training and validation rows."""
+    e = embeddings(spark, d).select("vec_id", "partition", "embedding", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(ALL_COORDS)])
+    lab = C.assign(e, "embedding", seed_centres(spark, d)[SEEDS[0]], ["vec_id", "partition", *ALL_COORDS])
+    return lab.where(F.col("partition") == "train"), lab.where(F.col("partition") == "validation")
+
+
 @query("prb_1_logistic_balanced", None)
 def _(spark, d):
     a, b = parts(spark, d)
@@ -559,14 +569,14 @@ def _(spark, d):
 
 @query("prb_3_boosted_trees", None)
 def _(spark, d):
-    a, b = parts(spark, d)
-    return rounded(P.classification_scores(P.nonlinear_probe(a, b, COORDS, "cluster", trees=3, depth=3)))
+    a, b = all_parts(spark, d)
+    return rounded(P.classification_scores(P.boosted_probe(a, b, ALL_COORDS, "cluster", key="vec_id")))
 
 
 @query("prb_3_random_forest", None)
 def _(spark, d):
     a, b = parts(spark, d)
-    return rounded(P.classification_scores(P.nonlinear_probe(a, b, COORDS, "cluster", method="forest", trees=10)))
+    return rounded(P.classification_scores(P.forest_probe(a, b, COORDS, "cluster", trees=10)))
 
 
 @query("prb_4_speed_only", None)
