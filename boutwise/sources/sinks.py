@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 
+PIECE = 1 << 20  # bytes read at once by a digest
+
 
 def write_features(features: DataFrame, path: str, names: Sequence[str], partition: str = "partition", mode: str = "errorifexists") -> None:
     """Feature columns as float next to their row metadata, one folder per partition value."""
@@ -43,13 +49,29 @@ def report_json(tidy: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tidy.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("document"))
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file, hashed where the file is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", whole: int = 1 << 28) -> DataFrame:
+    """(name, bytes, sha256) of every file below `path` that isn't empty (Spark's listing skips empty ones). Files of at most `whole` bytes are read by Spark, from any store that it
+    reaches. Larger ones are digested piece by piece, so memory doesn't grow with a file; their store must be one that pyarrow opens on the executors too (shared folder, hdfs, s3, gs),
+    another fails the job."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = listed.where(F.col("length") <= whole).select(name, F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = listed.where(F.col("length") > whole).select("path", name, F.col("length").alias("bytes"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = []
+            for uri in b.column("path").to_pylist():
+                system, inner = pa_fs.FileSystem.from_uri(quote(uri, safe="/:"))
+                state = hashlib.sha256()
+                with system.open_input_stream(inner) as stream:
+                    while piece := stream.read(PIECE):
+                        state.update(piece)
+                sums.append(state.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("bytes"), pa.array(sums, pa.string())], ["name", "bytes", "sha256"])
+
+    spread = large.repartition(spark.sparkContext.defaultParallelism, "path")  # few rows, long work
+    return small.unionByName(spread.mapInArrow(digest, "name string, bytes long, sha256 string"))
 
 
 def verify_manifest(current: DataFrame, recorded: DataFrame) -> DataFrame:

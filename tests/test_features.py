@@ -181,6 +181,21 @@ def test_manifest_statuses(spark, tmp_path):
     assert {r["name"]: r["status"] for r in K.verify_manifest(now, old).collect()} == {"a.txt": "ok", "b.txt": "changed", "c.txt": "missing"}
 
 
+def test_manifest_reads_files_in_pieces(spark, tmp_path):
+    import hashlib
+
+    # names that need escaping, an empty file, one of several pieces, one in a folder below
+    big = bytes(range(256)) * (12 << 10)
+    texts = {"a b.txt": b"x", "50%25 #1.txt": b"y", "empty.txt": b"", "big.txt": big}
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.txt").write_bytes(b"z")
+    want = {n: (len(t), hashlib.sha256(t).hexdigest()) for n, t in {**texts, "c.txt": b"z"}.items() if t}
+    for whole in (0, 1, 1 << 28):  # all in pieces, some, none
+        assert {r["name"]: (r["bytes"], r["sha256"]) for r in K.file_manifest(spark, str(tmp_path), whole=whole).collect()} == want
+
+
 def test_blinding_round_trip(spark):
     df = spark.createDataFrame([(i, f"s{i % 4}") for i in range(10)], "i int, label string")
     m = BL.blind_map(df, "label", 3, "C")

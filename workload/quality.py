@@ -119,6 +119,19 @@ def _(spark, d):
     return K.file_manifest(spark, d, "*.parquet")
 
 
+# a manifest recorded from the tables' own listing: one file is changed, one missing, one unrecorded
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("snk_5_verified_manifest", f"""SELECT name||'.parquet' AS name, CASE name WHEN 'region' THEN 'unrecorded' WHEN 'nation' THEN 'changed' ELSE 'ok' END AS status FROM (SELECT unnest({TABLES}) AS name) UNION ALL SELECT 'gone.parquet', 'missing'""")
+def _(spark, d):
+    now = K.file_manifest(spark, d, "*.parquet").where(F.col("name").isin([f"{t}.parquet" for t in TABLES]))
+    recorded = K.file_manifest(spark, d, "*.parquet").where("name <> 'region.parquet'")
+    told = F.when(F.col("name") == "nation.parquet", F.repeat(F.lit("0"), 64)).otherwise(F.col("sha256"))
+    gone = spark.range(1).select(F.lit("gone.parquet").alias("name"), F.lit("0").alias("sha256"))
+    return K.verify_manifest(now, recorded.select("name", told.alias("sha256")).unionByName(gone))
+
+
 # ---- bout quality ------------------------------------------------------------------------------
 
 
